@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deltamesh.llm.common import table
 from deltamesh.llm.mixing import MIXING_SQL, mix_sources
+from deltamesh.llm.ngram_join import near_duplicates
 from deltamesh.llm.packing import pack_documents
 from deltamesh.llm.quality import QUALITY_SQL, judge_quality
 from deltamesh.llm.tokens import token_counts
@@ -15,6 +16,10 @@ from deltamesh.llm.tokens import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,7 +37,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_mixing, op6_quality_rules, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op5_mixing, op6_quality_rules, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,3 +121,30 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
     begin = np.r_[0, np.cumsum(count)]
     keep = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
     return mixed(out[keep]), begin
+
+
+class Lookup:
+    """Positions of 64-bit keys in a sorted array of distinct ones, -1 where absent."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(1, min(24, int(len(keys)).bit_length()))
+        self.begin = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << _U(64 - self.bits))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        found = np.full(len(h), -1, np.int64)
+        if not len(self.keys):
+            return found
+        at = self.begin[(h >> _U(64 - self.bits)).astype(np.int64)]
+        todo = np.flatnonzero(at < len(self.keys))
+        at = at[todo]
+        while todo.size:
+            key = self.keys[at]
+            want = h[todo]
+            hit = key == want
+            found[todo[hit]] = at[hit]
+            on = key < want
+            todo, at = todo[on], at[on] + 1
+            inside = at < len(self.keys)
+            todo, at = todo[inside], at[inside]
+        return found
