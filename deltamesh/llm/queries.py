@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from deltamesh.llm.common import table
+from deltamesh.llm.ctw import score_texts
 from deltamesh.llm.mixing import MIXING_SQL, mix_sources
 from deltamesh.llm.ngram_join import near_duplicates
 from deltamesh.llm.packing import pack_documents
@@ -28,6 +29,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_ngram_jaccard, op5_mixing, op6_quality_rules, op8_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_ngram_jaccard, op5_mixing, op6_quality_rules, op7_lm_scoring, op8_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
