@@ -14,6 +14,7 @@ from deltamesh.llm.ngram_join import near_duplicates
 from deltamesh.llm.packing import pack_documents
 from deltamesh.llm.quality import QUALITY_SQL, judge_quality
 from deltamesh.llm.tokens import token_counts
+from deltamesh.llm.toxicity import score_toxicity
 from deltamesh.llm.topk import TOPK_SQL, top_k
 from deltamesh.llm.warc import WARC_SQL, archive_round_trip
 
@@ -32,6 +33,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_warc, op3_ngram_jaccard, op5_mixing, op6_quality_rules, op7_lm_scoring, op8_packing, op9_chat_formatting, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_warc, op3_ngram_jaccard, op4_toxicity, op5_mixing, op6_quality_rules, op7_lm_scoring, op8_packing, op9_chat_formatting, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
