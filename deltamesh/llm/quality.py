@@ -150,6 +150,31 @@ def judge_quality(docs: DataFrame, policy: str = "standard-1") -> DataFrame:
     return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (passes(policy) & ~base).alias("kept"))
 
 
+def keep_rows(docs: DataFrame, policy: str = "standard-1", text_col: str = "text") -> DataFrame:
+    """The rows of docs that a policy passes, with all their columns; rows pass through one map, nothing is joined."""
+    failed = _failures(POLICIES[policy])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices_of(batch.column(text_col)):
+                yield batch.slice(s.first, s.n).filter(pa.array(~failed(measure(s))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _failures(mask: int):
+    """A function from measurements to whether a rule of the mask failed; the rules' own conditions, over arrays."""
+    texts = [r.failed for i, r in enumerate(RULES) if mask >> i & 1]
+
+    def failed(m: dict[str, np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(m["n_words"]), bool)
+        for t in texts:
+            out |= eval(t, {"__builtins__": {}}, m)  # the conditions are constants of this module
+        return out
+
+    return failed
+
+
 #: The same by DuckDB.
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

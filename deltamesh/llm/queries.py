@@ -61,8 +61,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_warc, op3_ngram_jaccard, op4_toxicity, op5_mixing, op6_quality_rules, op7_lm_scoring, op8_packing, op9_chat_formatting, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_warc, op3_ngram_jaccard, op4_toxicity, op5_mixing, op6_quality_rules, op7_lm_scoring, op8_packing, op9_chat_formatting, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
