@@ -13,11 +13,11 @@ CAP = 300.0
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for x > 0: eight steps up, then Stirling's series."""
+    """log Gamma for x > 0: up to fourteen steps up, then Stirling's series."""
     x = np.asarray(x, float)
     shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        small = y < 8
+    for _ in range(14):
+        small = y < 14
         shift += np.where(small, np.log(np.where(small, y, 1.0)), 0.0)
         y = y + small
     z = 1.0 / (y * y)

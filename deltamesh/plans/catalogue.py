@@ -559,8 +559,9 @@ def similarity_matrix(spark, sf_dir):
 @query(f"""{_P}, sd AS (SELECT label FROM un WHERE status <> 'SHARED' UNION SELECT source FROM ue WHERE status <> 'SHARED' UNION SELECT target FROM ue WHERE status <> 'SHARED'),
  gr AS (SELECT label FROM sd UNION SELECT source FROM ue WHERE target IN (SELECT label FROM sd) UNION SELECT target FROM ue WHERE source IN (SELECT label FROM sd)),
  ch AS (SELECT label FROM sd WHERE (SELECT count(*) FROM sd) >= 2000 UNION SELECT label FROM gr WHERE (SELECT count(*) FROM sd) < 2000),
- dg AS (SELECT label, count(e.l) AS degree FROM un LEFT JOIN (SELECT source AS l FROM ue UNION ALL SELECT target FROM ue) e ON label = e.l GROUP BY label)
- SELECT ch.label, ch.label IN (SELECT label FROM sd) AS is_seed FROM ch JOIN dg USING (label) ORDER BY is_seed DESC, CASE WHEN is_seed THEN 0 ELSE -degree END, ch.label LIMIT 2000""")
+ dg AS (SELECT label, count(e.l) AS degree FROM un LEFT JOIN (SELECT source AS l FROM ue UNION ALL SELECT target FROM ue) e ON label = e.l GROUP BY label),
+ fl AS (SELECT ch.label, sd.label IS NOT NULL AS is_seed, degree FROM ch JOIN dg USING (label) LEFT JOIN sd ON ch.label = sd.label)
+ SELECT label, is_seed FROM fl ORDER BY is_seed DESC, CASE WHEN is_seed THEN 0 ELSE -degree END, label LIMIT 2000""")
 def focus_nodes_1hop(spark, sf_dir):
     return views.focus_nodes(diff(fx.priority(spark, sf_dir)))
 
