@@ -17,7 +17,7 @@ from deltamesh.operators.union import UnionDiff
 DAMPING = 0.85
 
 
-def pagerank_steps(g: PropertyGraph, steps: int, damping: float = DAMPING, tolerance: float | None = None, every: int = 10) -> DataFrame:
+def pagerank_steps(g: PropertyGraph, steps: int, damping: float = DAMPING, tolerance: float | None = None, every: int = 5) -> DataFrame:
     """(label, pagerank) by power iteration over the undirected simple graph, as DataFrames.
 
     Isolated nodes are dangling: their mass goes to all nodes alike. A checkpoint ends the lineage
@@ -29,19 +29,25 @@ def pagerank_steps(g: PropertyGraph, steps: int, damping: float = DAMPING, toler
     n = nodes.count()
     if n == 0:
         return nodes.select(F.col("u").alias("label"), F.lit(None).cast("double").alias("pagerank"))
+    # nodes without a neighbour all hold one and the same rank, so what they pass on is a number
+    alone = nodes.where("d = 0").count()
+    single = 1.0 / n
     ranks = nodes.withColumn("r", F.lit(1.0 / n))
+    before = None
     for i in range(1, steps + 1):
-        sent = adj.join(ranks.where("d > 0").select("u", (F.col("r") / F.col("d")).alias("s")), "u").groupBy("v").agg(F.sum("s").alias("s")).withColumnRenamed("v", "u")
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("r"))), F.lit(0.0)).alias("lost"))
-        new = nodes.join(sent, "u", "left").crossJoin(F.broadcast(lost))  # one row
-        new = new.select("u", "d", ((1 - damping) / n + damping * (F.coalesce("s", F.lit(0.0)) + F.col("lost") / n)).alias("r"))
+        sent = adj.join(ranks.where("d > 0").select("u", (F.col("r") / F.col("d")).alias("s")), "u")
+        got = sent.groupBy("v").agg(F.sum("s").alias("s")).withColumnRenamed("v", "u")
+        base = (1 - damping) / n + damping * alone * single / n
+        single = base
+        ranks = nodes.join(got, "u", "left").select("u", "d", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
         if i % every == 0:
-            new = settled(new)
+            ranks = settled(ranks)
             if tolerance is not None:
-                gap = new.join(ranks.select("u", F.col("r").alias("was")), "u").agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]
-                if gap < tolerance:
-                    return new.select(F.col("u").alias("label"), F.col("r").alias("pagerank"))
-        ranks = new
+                if before is not None:
+                    gap = ranks.join(before.select("u", F.col("r").alias("was")), "u").agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]
+                    if gap < tolerance:
+                        break
+                before = ranks
     return ranks.select(F.col("u").alias("label"), F.col("r").alias("pagerank"))
 
 
