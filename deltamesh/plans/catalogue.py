@@ -585,3 +585,18 @@ def ego_sizes(spark, sf_dir):
 def normalize_labels(spark, sf_dir):
     n = fx.table(spark, sf_dir, "nation")
     return n.select(F.col("n_name").alias("label"), normalized(F.concat(F.col("n_name"), F.lit(" - "), F.col("n_regionkey").cast("string"))).alias("form"))
+
+
+@query(f"""{_P}, {_SCOPED}, t AS (SELECT {_SIZES} FROM un), e AS (SELECT {_SIZES} FROM ue)
+ SELECT metric, round(value, 6) AS value FROM (SELECT 'jaccard_nodes' AS metric, n_both / (n_a + n_b - n_both) AS value FROM t UNION ALL SELECT 'dice_nodes', 2 * n_both / (n_a + n_b) FROM t
+ UNION ALL SELECT 'jaccard_typed_edges', n_both / (n_a + n_b - n_both) FROM e UNION ALL SELECT 'dice_typed_edges', 2 * n_both / (n_a + n_b) FROM e)""")
+def scores_tidy(spark, sf_dir):
+    u = diff(fx.priority(spark, sf_dir))
+    rows = [t.where("scope = 'raw'").select(F.inline(F.array(*[F.struct(F.lit(f"{m}_{w}").alias("metric"), F.col(m).alias("value")) for m in ("jaccard", "dice")]))) for w, t in (("nodes", counts.node_overlap(u)), ("typed_edges", counts.typed_edge_overlap(u)))]
+    return rounded(rows[0].unionByName(rows[1]))
+
+
+@query(f"""WITH a AS (SELECT source, type, target FROM (WITH {fx.SQL['priority']} SELECT * FROM ae) UNION SELECT source, type, target FROM (WITH {fx.SQL['priority']} SELECT * FROM be)) SELECT type, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT target) AS n_targets FROM a GROUP BY type""")
+def edge_types(spark, sf_dir):
+    g = diff(fx.priority(spark, sf_dir)).as_graph()
+    return g.edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("n_sources"), F.count_distinct("target").alias("n_targets"))
