@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltamesh.llm.common import cut, scratch
+from deltamesh.llm.common import cut
 from deltamesh.llm.components import connected
 from deltamesh.llm.textarrays import Lookup, Slice, mixed, slices_of, windows, words_of
 
@@ -36,7 +36,7 @@ WIDTH = 5
 #: Similarity as a fraction, so that the test is in whole numbers.
 NUM, DEN = 3, 4
 #: One document in so many is read to find frequent elements; met so often there, one goes last.
-SAMPLE, OFTEN, MOST_FREQUENT = 32, 4, 200_000
+SAMPLE, OFTEN, MOST_FREQUENT = 8, 3, 400_000
 SALT, BLOCK, BEST = 32, 2048, 8
 KEY_BITS = 48
 SLOTS = 1 << 23
@@ -83,8 +83,8 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap_width(n: int) -> int:
-    """Bits of a signature: the power of two from the set's size on, 64 to 16384."""
-    return min(16384, max(64, 1 << (int(n) - 1).bit_length()))
+    """Bits of a signature: the power of two from twice the set's size on, 64 to 32768."""
+    return min(32768, max(64, 1 << (2 * int(n) - 1).bit_length()))
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -107,18 +107,37 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def frequent(source: DataFrame) -> np.ndarray:
+def frequent(source: DataFrame, parts: int) -> np.ndarray:
     """Sorted hashes of the elements to put last; at most MOST_FREQUENT, the most frequent ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices_of(batch.column(0)):
                 h, n = np.unique(shingle_sets(s)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                part = (mixed(h) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(h) else np.zeros(1, np.int64)
+                own = [order[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[o[0]]) for o in own], pa.int32()), pa.array([h[o].tobytes() for o in own], pa.binary()), pa.array([n[o].astype("<u4").tobytes() for o in own], pa.binary())], ["part", "keys", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            keys.append(np.frombuffer(b"".join(batch.column("keys").to_pylist()), "<u8"))
+            counts.append(np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<u4"))
+        if not keys:
+            return
+        key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(n, head) if len(head) else n
+        often = sums >= OFTEN
+        yield pa.RecordBatch.from_arrays([pa.array(key[head][often].view(np.int64)), pa.array(sums[often])], ["h", "n"])
 
     sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    rows = counted.orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).select("h").toArrow()
+    packed = sample.mapInArrow(gather, "part int, keys binary, counts binary").repartition(parts, "part")
+    rows = packed.mapInArrow(total, "h long, n long").orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).select("h").toArrow()
     return np.sort(np.asarray(rows.column("h").combine_chunks()).view(np.uint64))
 
 
@@ -214,7 +233,11 @@ def tie(dealt: DataFrame) -> DataFrame:
             by = np.lexsort((cid, -central.astype(np.int64), band, key))
             head = np.r_[True, (key[by][1:] != key[by][:-1]) | (band[by][1:] != band[by][:-1])]
             centre = np.empty(len(key), np.int64)
-            centre[by] = np.repeat(cid[by][head], np.diff(np.r_[np.flatnonzero(head), len(key)]))
+            length = np.diff(np.r_[np.flatnonzero(head), len(key)])
+            centre[by] = np.repeat(cid[by][head], length)
+            own, of_centre = n[by].astype(np.int64), np.repeat(n[by][head], length).astype(np.int64)
+            apart = DEN * np.minimum(own, of_centre) < NUM * np.maximum(own, of_centre)
+            centre[by[apart]] = cid[by[apart]]  # sizes too far apart to be tied
             centres.append(centre)
         salted = (key >> np.uint64(KEY_BITS)) > 0
         plain = (key & np.uint64((1 << KEY_BITS) - 1)).view(np.int64)
@@ -301,70 +324,98 @@ def _possible(x: np.ndarray, n: int, ys: np.ndarray, ns: np.ndarray) -> np.ndarr
     return DEN * overlap >= NUM * (n + ns - overlap)
 
 
-def search_tiles(unsettled: DataFrame, best: int | None) -> DataFrame:
-    """Rows (a, b, more): pairs across components that the signatures allow, the `best` per document and tile (all if null)."""
-    names = ["a", "b"]
+def unsettled_rows(label: DataFrame) -> DataFrame:
+    """Rows (key, id, comp, n, salted) that have, in their tile, a partner of another component and of a possible size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, comp, n = (t[c].to_numpy() for c in ("key", "comp", "n"))
+        low, high = -(-NUM * n.astype(np.int64) // DEN), DEN * n.astype(np.int64) // NUM
+
+        def within(group: np.ndarray) -> np.ndarray:
+            """For each row, how many rows of its group have a size from low to high."""
+            order = np.lexsort((n, group))
+            code = group[order].astype(np.int64) * (1 << 26) + n[order]
+            return np.searchsorted(code, group * (1 << 26) + high, "right") - np.searchsorted(code, group * (1 << 26) + low, "left")
+
+        _, tile = np.unique(key, return_inverse=True)
+        _, part = np.unique(np.stack([tile, comp]), axis=1, return_inverse=True)
+        keep = within(tile.astype(np.int64)) > within(part.ravel().astype(np.int64))
+        for batch in t.filter(pa.array(keep)).to_batches(max_chunksize=50_000):
+            yield batch
+
+    plain = label.where("not salted").repartition("key").mapInArrow(run, label.schema)
+    # tiles of frequent elements may be of any size: they go on whole
+    return plain.unionByName(label.where("salted"))
+
 
-    def tile(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list, is_left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search_tiles(rows: DataFrame, best: int | None) -> DataFrame:
+    """Rows (a, b, capped): pairs across components that the signatures allow, the `best` nearest sizes per document and tile (all if null)."""
+    names = ["a", "b", "capped"]
+
+    def tile(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list, left: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
         width = np.array([8 * len(x) for x in bits])
-        for w in np.unique(width).tolist():
+        for w in np.unique(width[left]).tolist():
             for v in (w // 2, w, 2 * w):
-                left, right = np.flatnonzero(is_left & (width == w)), np.flatnonzero(~is_left & (width == v))
-                if not len(left) or not len(right):
+                xs, ys = np.flatnonzero(left & (width == w)), np.flatnonzero(right & (width == v))
+                if not len(xs) or not len(ys):
                     continue
-                right = right[np.argsort(n[right], kind="stable")]
+                ys = ys[np.argsort(n[ys], kind="stable")]
                 u = min(w, v)
-                ys, ns = np.stack([folded(bits[j], u) for j in right.tolist()]), n[right]
-                low, high = np.searchsorted(ns, -(-NUM * n[left] // DEN), "left"), np.searchsorted(ns, DEN * n[left] // NUM, "right")
-                for i, a, b in zip(left.tolist(), low.tolist(), high.tolist(), strict=True):
-                    if a >= b:
+                sets, ns = np.stack([folded(bits[j], u) for j in ys.tolist()]), n[ys]
+                low, high = np.searchsorted(ns, -(-NUM * n[xs] // DEN), "left"), np.searchsorted(ns, DEN * n[xs] // NUM, "right")
+                for i, a, b in zip(xs.tolist(), low.tolist(), high.tolist(), strict=True):
+                    other = np.flatnonzero(comp[ys[a:b]] != comp[i]) + a
+                    if not len(other):
                         continue
-                    ok = _possible(folded(bits[i], u), n[i], ys[a:b], ns[a:b]) & (comp[right[a:b]] != comp[i])
-                    hit = right[a:b][ok]
-                    if best is not None and len(hit) > best:
+                    hit = ys[other[_possible(folded(bits[i], u), n[i], sets[other], ns[other])]]
+                    capped = best is not None and len(hit) > best
+                    if capped:
                         hit = hit[np.argsort(np.abs(n[hit] - n[i]), kind="stable")[:best]]
                     if len(hit):
-                        yield np.minimum(cid[i], cid[hit]), np.maximum(cid[i], cid[hit])
+                        yield np.minimum(cid[i], cid[hit]), np.maximum(cid[i], cid[hit]), np.full(len(hit), capped)
+
+    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows)
+        key, block, cid, comp, n, role = (t[c].to_numpy() for c in ("key", "block", "id", "comp", "n", "role"))
+        n = n.astype(np.int64)
+        bits = t["bits"].to_pylist()
+        edges = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(block) != 0), True])
+        found = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            found += tile(cid[a:b], comp[a:b], n[a:b], bits[a:b], role[a:b] & 1 > 0, role[a:b] & 2 > 0)
+        if found:
+            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rows)
-            key = np.asarray(t["key"].combine_chunks()) if t.num_rows else np.zeros(0)
-            block = np.asarray(t["block"].combine_chunks())
-            cid, comp, n, left = (t[c].to_numpy() for c in ("id", "comp", "n", "is_left"))
-            bits = t["bits"].to_pylist()
-            edges = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(block) != 0), True])
-            found_a, found_b = [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for x, y in tile(cid[a:b], comp[a:b], n[a:b], bits[a:b], left[a:b]):
-                    found_a.append(x)
-                    found_b.append(y)
-            if found_a:
-                pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names)
-
         held: list[pa.RecordBatch] = []
         for batch in batches:  # sorted by tile: keep the open tile, search what is complete
-            if held and batch.num_rows:
+            if held and batch.num_rows and sum(x.num_rows for x in held) >= 20_000:
                 last = (held[-1].column("key")[-1].as_py(), held[-1].column("block")[-1].as_py())
-                if sum(x.num_rows for x in held) >= 20_000:
-                    key, block = np.asarray(batch.column("key")), np.asarray(batch.column("block"))
-                    new = np.flatnonzero((key != last[0]) | (block != last[1]))
-                    if len(new):
-                        held.append(batch.slice(0, int(new[0])))
-                        yield from flush(held)
-                        held, batch = [], batch.slice(int(new[0]))
+                new = np.flatnonzero((np.asarray(batch.column("key")) != last[0]) | (np.asarray(batch.column("block")) != last[1]))
+                if len(new):
+                    held.append(batch.slice(0, int(new[0])))
+                    yield from flush(held)
+                    held, batch = [], batch.slice(int(new[0]))
             if batch.num_rows:
                 held.append(batch)
         if held:
             yield from flush(held)
 
+    # role 1: a document to find partners for, 2: one to be found. Tiles of up to BLOCK rows hold each
+    # document once; of larger ones every block of seekers meets every block of documents
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.hash("id"), blocks)
-    left = unsettled.where(~F.col("major")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("block", own * 100_000 + F.col("block")).withColumn("is_left", F.lit(True))
-    right = unsettled.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("block", F.col("block") * 100_000 + own).withColumn("is_left", F.lit(False))
-    rows = left.unionByName(right).select("key", F.col("block").cast("long").alias("block"), "id", "comp", "n", "bits", "is_left")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long")
+    cells = F.sequence(F.lit(0), blocks - 1)
+    seek, sought = F.transform(cells, lambda c: F.struct((own * 100_000 + c).alias("block"), F.lit(1).alias("role"))), F.transform(cells, lambda c: F.struct((c * 100_000 + own).alias("block"), F.lit(2).alias("role")))
+    one = F.array(F.struct(F.lit(0).alias("block"), F.when(F.col("major"), 2).otherwise(3).alias("role")))
+    places = F.when(blocks <= 1, one).when(F.col("major"), sought).otherwise(F.concat(seek, sought))
+    placed = rows.withColumn("p", F.explode(places)).select("key", F.col("p.block").cast("long").alias("block"), "id", "comp", "n", "bits", F.col("p.role").cast("int").alias("role"))
+    return placed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long, capped boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,8 +429,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     source = _text(docs, id_col, text_col)
-    hot = spark.sparkContext.broadcast(frequent(source))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = spark.sparkContext.broadcast(frequent(source, parts))
     rows = cut(profiles(source, hot), "profiles")
     by_set = ["s1", "s2", "n"]
     filled = rows.where("n > 0")
@@ -388,29 +439,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tiles = cut(tie(deal(classes, hot, parts)), "tiles")
     centres = tiles.select(F.col("centre1").alias("a"), F.col("id").alias("b")).unionByName(tiles.select(F.col("centre2").alias("a"), F.col("id").alias("b")))
     # centres of the salted parts of a frequent element are tied to the most central of them
-    part_centres = tiles.where("salted and (id = centre1 or id = centre2)").select("key", F.floor(F.log(F.col("n")) * _BANDS).alias("band"), "id", "central").distinct()
-    top = part_centres.groupBy("key", "band").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"))
-    across = part_centres.join(top, ["key", "band"]).select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"))
-    ties = centres.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    part_centres = tiles.where("salted and (id = centre1 or id = centre2)").select("key", F.floor(F.log(F.col("n")) * _BANDS).alias("band"), "id", "n", "central").distinct()
+    top = part_centres.groupBy("key", "band").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), F.col("n").alias("m"))).alias("top"))
+    across = part_centres.join(top, ["key", "band"]).where(F.least("n", "top.m") * DEN >= F.greatest("n", "top.m") * NUM).select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"))
+    ties = cut(centres.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ties")
     links = verified(ties, classes, source)
 
     components = connected(links)
-    tested = cut(ties, "tested")
+    tested = ties
     for best in (BEST, None):
-        label = tiles.select("key", "id", "n").join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component").distinct()
-        label = cut(label, "labelled")
+        label = tiles.select("key", "salted", "id", "n").join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "salted", "id", "n", "comp").distinct()
+        label = cut(unsettled_rows(label), "labelled")
         sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"))
         per_key = sizes.groupBy("key").agg(F.sum("held").alias("members"), F.max(F.struct("held", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        unsettled = label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp")).select("key", "id", "comp", "n", "members", "major")
-        unsettled = unsettled.join(classes.select(F.col("cid").alias("id"), "bits"), "id")
-        pairs = search_tiles(unsettled, best).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        open_rows = label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp")).select("key", "id", "comp", "n", "members", "major")
+        open_rows = open_rows.join(classes.select(F.col("cid").alias("id"), "bits"), "id")
+        found = cut(search_tiles(open_rows, best), "pairs")
+        capped = not found.where("capped").isEmpty()
+        pairs = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = verified(pairs, classes, source)
         if not more.isEmpty():
             links = links.unionByName(more)
             components = connected(links)
+        if not capped:  # every pair that the signatures allow has been verified
+            break
         tested = tested.unionByName(pairs)
 
     grouped = classes.select("cid", "s1", "s2", "n", "doc_id").join(components, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "cid"))
