@@ -450,8 +450,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for best in (BEST, None):
         label = tiles.select("key", "salted", "id", "n").join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "salted", "id", "n", "comp").distinct()
         label = cut(unsettled_rows(label), "labelled")
-        sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"))
-        per_key = sizes.groupBy("key").agg(F.sum("held").alias("members"), F.max(F.struct("held", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        mark = F.xxhash64("id")
+        sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
+        per_key = sizes.groupBy("key").agg(F.sum("held").alias("members"), F.max(F.struct("held", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("comps > 1")
+        # tiles with the same members hold the same pairs: one of them is searched
+        per_key = per_key.groupBy("members", "x", "y").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "members", "one.top")
         open_rows = label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp")).select("key", "id", "comp", "n", "members", "major")
         open_rows = open_rows.join(classes.select(F.col("cid").alias("id"), "bits"), "id")
         found = cut(search_tiles(open_rows, best), "pairs")
