@@ -5,7 +5,8 @@ ranges (blocks) and keeps, for every block, the largest and the smallest value o
 query the sum of the better of query * maximum and query * minimum bounds every score in a block.
 Blocks are visited per query in falling order of that bound, each scored through the block's own
 forward index (its dense rows), until the next bound is below the k-th best score. A score equal to
-the k-th still counts, because ties go to the smaller id.
+the k-th still counts, because ties go to the smaller id. The k best are distinct ids, each with
+the best of its rows.
 
 Queries go to the partitions in sets of at most QUERY_SET rows, whatever their number, and a first
 look at a bounded number of rows gives each query a k-th score to start from, so that partitions
@@ -59,11 +60,11 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; an id that repeats has one place, by its best score."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray):
+    def __init__(self, n: int, k: int, floor: np.ndarray, repeats: bool = True):
         self.score, self.id = np.full((n, k), _LOWEST), np.full((n, k), np.iinfo(np.int64).max)
-        self.floor = floor
+        self.floor, self.repeats = floor, repeats
 
     def bar(self) -> np.ndarray:
         return np.maximum(self.score[:, -1], self.floor)
@@ -72,6 +73,10 @@ class Best:
         k = self.score.shape[1]
         score = np.concatenate([self.score[rows], score], 1)
         ids = np.concatenate([self.id[rows], np.broadcast_to(ids, (len(rows), len(ids)))], 1)
+        if self.repeats:
+            order = np.lexsort((-score, ids), axis=1)
+            score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+            score[:, 1:][ids[:, 1:] == ids[:, :-1]] = _LOWEST
         order = np.lexsort((ids, -score), axis=1)[:, :k]
         self.score[rows], self.id[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
@@ -83,7 +88,7 @@ def search(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
         top = np.abs(v).argmax(1)
         order = np.lexsort((ids, v[np.arange(len(v)), top] > 0, top))
         ids, v = ids[order], v[order]
-    best, scored = Best(len(q), k, floor), 0
+    best, scored = Best(len(q), k, floor, len(np.unique(ids)) < len(ids)), 0
     starts = np.arange(0, len(ids), BLOCK)
     if not len(starts):
         return best, 0

@@ -167,6 +167,19 @@ def test_top_k_as_brute_force(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_with_one_id_of_many_vectors(spark):
+    r = np.random.default_rng(5)
+    v = r.integers(-3, 4, size=(400, 4))
+    ids = np.where(np.arange(400) < 150, 7, np.arange(400) % 130)
+    v[:150] += 6
+    df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(ids, v, strict=True)], "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = con.execute(topk.TOPK_SQL).fetchall()
+    same(topk.top_k(df.repartition(2)).collect(), want)
+    assert max(Counter(w[0] for w in want).values()) == 20
+
+
 def test_search_prunes_blocks():
     r = np.random.default_rng(1)
     centre = r.normal(size=(20, 16)) * 40
