@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from deltamesh.llm.common import cut
 from deltamesh.llm.components import connected
@@ -418,17 +419,9 @@ def search_tiles(rows: DataFrame, best: int | None) -> DataFrame:
     return placed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long, capped boolean")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each input row.
-
-    Words are runs of characters other than 0x20 and 0x09-0x0D, with A-Z lower-cased; a set holds
-    the distinct five-word shingles, or the whole sequence where there are fewer words. Texts that
-    are null or have no word have an empty set and are linked with nothing, so their component is
-    their own id. Ids may be null (never the smallest) or repeat. Links join documents at
-    100 * intersection >= 75 * union; component_id is the smallest id reachable by them.
-    """
-    spark = docs.sparkSession
-    source = _text(docs, id_col, text_col)
+def components_of(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The profiles of (doc_id, text) rows, and rows (cid, s1, s2, n, doc_id, comp): each distinct non-empty set, its smallest id and its component."""
+    spark = source.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(frequent(source, parts))
     rows = cut(profiles(source, hot), "profiles")
@@ -468,9 +461,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         tested = tested.unionByName(pairs)
 
-    grouped = classes.select("cid", "s1", "s2", "n", "doc_id").join(components, F.col("cid") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "cid"))
+    grouped = classes.select("cid", "s1", "s2", "n", "doc_id").join(components, F.col("cid") == F.col("id"), "left")
+    return rows, grouped.select("cid", "s1", "s2", "n", "doc_id", F.coalesce("component", "cid").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each input row.
+
+    Words are runs of characters other than 0x20 and 0x09-0x0D, with A-Z lower-cased; a set holds
+    the distinct five-word shingles, or the whole sequence where there are fewer words. Texts that
+    are null or have no word have an empty set and are linked with nothing, so their component is
+    their own id. Ids may be null (never the smallest) or repeat. Links join documents at
+    100 * intersection >= 75 * union; component_id is the smallest id reachable by them.
+    """
+    rows, grouped = components_of(_text(docs, id_col, text_col))
+    by_set = ["s1", "s2", "n"]
     lowest = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = cut(grouped.join(lowest, "comp").select("s1", "s2", "n", "component_id"), "named")
-    full = filled.select("doc_id", *by_set).join(named, by_set).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    full = rows.where("n > 0").select("doc_id", *by_set).join(named, by_set).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
+
+
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows of docs with their set's size and key beside (__n, __s1, __s2); one map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices_of(batch.column(text_col)):
+                h, first = shingle_sets(s)
+                s1, s2 = set_keys(h, first)
+                own = batch.slice(s.first, s.n)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.diff(first)), pa.array(s1), pa.array(s2)], [*own.schema.names, "__n", "__s1", "__s2"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("__n", "__s1", "__s2"))]))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near-duplicates one row of docs, with all its columns; rows without words are in no group and all stay.
+
+    Groups are the components of near_duplicates, decided by text: rows that share an id and not a
+    component are decided apart. The smallest id stays, null ids only where a group has no other;
+    of several rows with that id the one with the smallest set (size, then key), then the smallest row.
+    """
+    rows, grouped = components_of(_text(docs, id_col, text_col))
+    # by set and id, both of which a row tells by itself; ids that are null are equal
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "s1", "s2")).alias("one")
+    keep = cut(grouped.groupBy("comp").agg(lowest).select(*[F.col(f"one.{c}").alias(f"__keep_{c}") for c in ("doc_id", "n", "s1", "s2")]), "kept-sets")
+
+    def kept(df: DataFrame, doc_id: Column, n: str, s1: str, s2: str) -> DataFrame:
+        same = doc_id.eqNullSafe(keep["__keep_doc_id"])
+        for own, c in ((n, "n"), (s1, "s1"), (s2, "s2")):
+            same &= df[own] == keep[f"__keep_{c}"]
+        return df.join(keep, same, "left_semi")
+
+    wordless = ~F.coalesce(docs[text_col].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    with_keys = keyed(docs.where(~wordless), text_col)
+    out = kept(with_keys, with_keys[id_col].cast("long"), "__n", "__s1", "__s2")
+    found = rows.where("n > 0").select("doc_id", "n", "s1", "s2")
+    if not kept(found, found["doc_id"], "n", "s1", "s2").groupBy("doc_id", "n", "s1", "s2").count().where("count > 1").isEmpty():
+        names = docs.columns
+        out = out.groupBy(F.col(id_col).cast("long"), "__n", "__s1", "__s2").agg(F.min(F.struct(*names)).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in names])
+    return docs.where(wordless).unionByName(out.select(*docs.columns))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from deltamesh.llm.common import cut, table
+from deltamesh.llm.common import table
 from deltamesh.llm.mixing import emit_mixed
-from deltamesh.llm.ngram_join import near_duplicates
+from deltamesh.llm.ngram_join import one_per_group
 from deltamesh.llm.packing import pack_documents
 from deltamesh.llm.quality import keep_rows
 from deltamesh.llm.toxicity import THRESHOLD, keep_clean
@@ -24,20 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest id stays; documents without words are no group."""
-    found = near_duplicates(docs)
-    keep = cut(found.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # an id that repeats: one row of it stays, unless it has no words
-    return once_per_id(kept)
-
-
-def once_per_id(docs: DataFrame) -> DataFrame:
-    """One row per id where ids repeat; tables without repeated ids pass unchanged."""
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs
-    names = docs.columns
-    return docs.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in names])
+    """Of each group of near-duplicates one row stays, that with the smallest id; documents without words are no group.
+
+    A null id is never the smallest, but a group of null ids alone keeps one row. Rows that share
+    an id are decided each by its own text.
+    """
+    return one_per_group(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from deltamesh.llm import toxicity
 from deltamesh.llm.stages import ngram_jaccard, quality_rules
-from tests.llm.test_ngram_join import brute
+from tests.llm.test_ngram_join import brute, shingles
 
 BAD = ["zorkish", "blarfen", "idiot"]
 
@@ -81,3 +81,51 @@ def test_filter_stages_as_brute_force(spark):
     assert out.columns == df.columns
     assert sorted(x.doc_id for x in out.collect()) == sorted({d for d, n, c in comp if n == 0 or d == c})
     assert {x.doc_id for x in quality_rules(spark, df, "").collect()} == {i for i, t in rows if t}
+
+
+def groups(texts):
+    """A group's number per text, all pairs compared; None without words."""
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return [g if s else None for g, s in zip(group, sets, strict=True)]
+
+
+def lowest_of_groups(rows):
+    """Per group the smallest id (None last), and which texts it may come with; all wordless rows."""
+    group = groups([t for _, t in rows])
+    ids = {}
+    for g, (d, _) in zip(group, rows, strict=True):
+        if g is not None:
+            ids[g] = min(ids.get(g, (True, 0)), (d is None, d or 0))
+    return ids, group
+
+
+def assert_one_per_group(spark, rows):
+    df = spark.createDataFrame([(t, "s", d, 1, 2) for d, t in rows], "text string, source string, doc_id long, n int, s1 long")
+    out = ngram_jaccard(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    ids, group = lowest_of_groups(rows)
+    at = {(d, t): g for g, (d, t) in zip(group, rows, strict=True)}
+    assert sorted((x for x in got if at[x] is None), key=str) == sorted((x for x, g in zip(rows, group, strict=True) if g is None), key=str)
+    left = [(at[x], (x[0] is None, x[0] or 0)) for x in got if at[x] is not None]
+    assert sorted(left) == sorted(ids.items())
+    return got
+
+
+def passages(seed, n):
+    r = random.Random(seed)
+    words = [f"u{i}" for i in range(600)]
+    return [" ".join(r.choice(words) for _ in range(70)) for _ in range(n)]
+
+
+def test_null_ids_keep_one_row_per_group(spark):
+    a, b, c, d = passages(1, 4)
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (3, c), (None, c + " more"), (4, d), (None, None), (None, " "), (9, "")]
+    got = assert_one_per_group(spark, rows)
+    assert sum(x is None for x, t in got if (t or " ").strip()) == 2 and len(got) == 7
