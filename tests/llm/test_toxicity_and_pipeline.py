@@ -129,3 +129,10 @@ def test_null_ids_keep_one_row_per_group(spark):
     rows = [(None, a), (None, a), (None, a + " more"), (None, b), (3, c), (None, c + " more"), (4, d), (None, None), (None, " "), (9, "")]
     got = assert_one_per_group(spark, rows)
     assert sum(x is None for x, t in got if (t or " ").strip()) == 2 and len(got) == 7
+
+
+def test_repeated_ids_are_decided_by_their_texts(spark):
+    a, b, c, d, e = passages(2, 5)
+    rows = [(2, b), (5, a), (5, b + " more"), (6, c), (6, d), (6, c + " more"), (6, c), (7, e), (7, e), (8, None), (8, None), (8, ""), (None, d + " more")]
+    got = assert_one_per_group(spark, rows)
+    assert {(2, b), (5, a), (6, d)} <= set(got) and len(got) == 8
