@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltamesh.model import DIFFERING, STATUSES, PropertyGraph, ratio
+from deltamesh.operators.blocks import Block, in_blocks, merged, numbered, reader
 from deltamesh.operators.counts import union_degree
 from deltamesh.operators.frames import settled
 from deltamesh.operators.structure import adjacency
@@ -33,57 +35,85 @@ def by_membership(u: UnionDiff, membership: DataFrame) -> DataFrame:
 def communities(g: PropertyGraph, resolution: float = 1.0, local_edges: int = 3_000_000, local_nodes: int = 2_000_000, rounds: int = 20) -> tuple[DataFrame, str]:
     """(label, cluster) and the method's name.
 
-    Below the counted bounds: greedy modularity moves with aggregation and a split into connected
-    parts, in the driver, in label order (deterministic). Beyond: label propagation, where every
-    node takes the commonest label around it, ties to the smallest, in alternating halves of the
-    nodes. Graphs without edges give singletons either way.
+    Greedy modularity moves with aggregation and a split into connected parts, in label order
+    (deterministic), with at most `rounds` passes a level. Above the counted bounds the edges stay
+    in Spark and come to the driver in blocks, once a pass; it holds only arrays as long as the
+    nodes, and the result is the same. Graphs without edges give singletons.
     """
     adj = adjacency(g).persist()
-    if g.nodes.count() <= local_nodes and adj.count() <= 2 * local_edges:
-        labels = sorted(g.nodes.select("label").toArrow()["label"].to_pylist())
+    labels = sorted(g.nodes.select("label").toArrow()["label"].to_pylist())
+    if len(labels) <= local_nodes and adj.count() <= 2 * local_edges:
         index = pd.Index(labels)
         e = adj.toArrow()
         u, v = index.get_indexer(e["u"].to_pandas()), index.get_indexer(e["v"].to_pandas())
-        member = modularity(u, v, np.ones(len(u)), len(labels), resolution)
-        out = g.nodes.sparkSession.createDataFrame(pd.DataFrame({"label": labels, "cluster": [f"c{m}" for m in member.tolist()]}), "label string, cluster string")
-        return out, "modularity"
-    current = g.nodes.select(F.col("label").alias("u"), F.col("label").alias("c"))
-    for i in range(rounds):
-        around = adj.join(current.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.count(F.lit(1)).alias("n"))
-        best = around.groupBy("u").agg(F.min_by("c", F.struct(-F.col("n"), "c")).alias("best"))
-        turn = F.pmod(F.hash("u"), F.lit(2)) == i % 2
-        new = current.join(best, "u", "left").select("u", F.when(turn, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"), (turn & (F.coalesce("best", "c") != F.col("c"))).alias("moved"))
-        new = settled(new)
-        moved = not new.where("moved").isEmpty()
-        current = new.drop("moved")
-        if not moved and i % 2:
-            break
-    return current.select(F.col("u").alias("label"), F.col("c").alias("cluster")), "label propagation"
+        member = modularity(u, v, np.ones(len(u)), len(labels), resolution, rounds)
+    else:
+        member = modularity_in_blocks(settled(numbered(adj, labels)), len(labels), resolution, rounds, local_edges)
+    out = g.nodes.sparkSession.createDataFrame(pd.DataFrame({"label": labels, "cluster": [f"c{m}" for m in member.tolist()]}), "label string, cluster string")
+    return out, "modularity"
 
 
-def modularity(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, resolution: float) -> np.ndarray:
+def modularity(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, resolution: float, rounds: int = 20) -> np.ndarray:
     """Communities of a symmetric edge list by local moves and aggregation; numbered by first node."""
-    member = np.arange(n)
-    total = w.sum()
-    if total == 0:
-        return member
-    cu, cv, cw = u, v, w
-    k = n
+    member = levels(u, v, w, np.arange(n), n, resolution, rounds)
+    return connected_parts(lambda: [(u, v, w)], member)
+
+
+def modularity_in_blocks(edges: DataFrame, n: int, resolution: float, rounds: int, local_edges: int) -> np.ndarray:
+    """The same over a table of edges (u, v, w): levels of too many edges are read in blocks."""
+    first = reader(in_blocks(edges))
+    member, k, blocks = np.arange(n), n, first
+    while True:
+        own = local_moves(blocks, k, resolution, rounds)
+        if own is None:
+            break
+        member = own[member]
+        k = int(own.max()) + 1
+        edges = merged(edges, own)
+        if edges.count() <= 2 * local_edges:
+            e = edges.toArrow()
+            member = levels(*(e[c].to_numpy() for c in ("u", "v", "w")), member, k, resolution, rounds)
+            break
+        blocks = reader(in_blocks(edges))
+    return connected_parts(first, member)
+
+
+def levels(cu: np.ndarray, cv: np.ndarray, cw: np.ndarray, member: np.ndarray, k: int, resolution: float, rounds: int) -> np.ndarray:
+    """The members' communities after moves and aggregation, as long as any node moves."""
     while True:
         order = np.argsort(cu, kind="stable")
         cu, cv, cw = cu[order], cv[order], cw[order]
-        start = np.searchsorted(cu, np.arange(k + 1))
-        degree = np.bincount(cu, cw, minlength=k)
-        own = np.arange(k)
-        inside = degree.copy()
-        nb, wt, st, dg, com, ins = cv.tolist(), cw.tolist(), start.tolist(), degree.tolist(), own.tolist(), inside.tolist()
-        moved_any = False
-        for _ in range(20):
-            moved = 0
-            for x in range(k):
+        own = local_moves(lambda: [(cu, cv, cw)], k, resolution, rounds)  # noqa: B023
+        if own is None:
+            return member
+        member = own[member]
+        k = int(own.max()) + 1
+        key = own[cu].astype(np.int64) * k + own[cv]
+        pair, back = np.unique(key, return_inverse=True)
+        cw = np.bincount(back, cw)
+        cu, cv = pair // k, pair % k
+
+
+def local_moves(blocks: Callable[[], Iterable[Block]], k: int, resolution: float, rounds: int) -> np.ndarray | None:
+    """Communities of k nodes after passes over the edges, which come in order of their first node; null if none moved."""
+    degree = np.zeros(k)
+    for u, _, w in blocks():
+        degree += np.bincount(u, w, minlength=k)
+    total = degree.sum()
+    if total == 0:
+        return None
+    dg, com, ins = degree.tolist(), list(range(k)), degree.tolist()
+    moved_any = False
+    for _ in range(rounds):
+        moved = 0
+        for u, v, w in blocks():
+            start = np.flatnonzero(np.r_[True, np.diff(u) != 0]) if len(u) else np.zeros(0, np.int64)
+            nodes, st = u[start].tolist(), [*start.tolist(), len(u)]
+            nb, wt = v.tolist(), w.tolist()
+            for at, x in enumerate(nodes):
                 here = com[x]
                 links: dict[int, float] = {}
-                for i in range(st[x], st[x + 1]):
+                for i in range(st[at], st[at + 1]):
                     y = nb[i]
                     if y != x:
                         c = com[y]
@@ -98,29 +128,24 @@ def modularity(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: int, resolution:
                 if best != here:
                     com[x] = best
                     moved += 1
-            moved_any |= moved > 0
-            if moved <= k // 1000:
-                break
-        if not moved_any:
+        moved_any |= moved > 0
+        if moved <= k // 1000:
             break
-        _, own = np.unique(np.array(com), return_inverse=True)
-        member = own[member]
-        k = int(own.max()) + 1
-        key = own[cu].astype(np.int64) * k + own[cv]
-        pair, back = np.unique(key, return_inverse=True)
-        cw = np.bincount(back, cw)
-        cu, cv = pair // k, pair % k
-    # a community that fell apart is split: the least member of each connected part names it
-    same = member[u] == member[v]
-    label = np.arange(n)
+    return np.unique(np.array(com), return_inverse=True)[1] if moved_any else None
+
+
+def connected_parts(blocks: Callable[[], Iterable[Block]], member: np.ndarray) -> np.ndarray:
+    """A community that fell apart is split: the least member of each connected part names it."""
+    label = np.arange(len(member))
     while True:
         new = label.copy()
-        np.minimum.at(new, u[same], label[v[same]])
+        for u, v, _ in blocks():
+            same = member[u] == member[v]
+            np.minimum.at(new, u[same], label[v[same]])
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    return label
 
 
 @dataclass(frozen=True)

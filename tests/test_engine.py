@@ -154,6 +154,17 @@ def test_communities_and_concentration(spark):
     assert n == u.nodes.count()
 
 
+def test_communities_do_not_depend_on_where_the_edges_are(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 60)
+    edges = [(f"n{i}", "t", f"n{i // 12 * 12 + (i * j + 5) % 12}", 1.0) for i in range(60) for j in (1, 2, 5, 7)] + [(f"n{12 * i}", "t", f"n{(12 * i + 12) % 60}", 1.0) for i in range(5)]
+    g = graph(spark.createDataFrame(list(dict.fromkeys(edges)), SCHEMA))
+    for resolution in (0.3, 1.0, 4.0):
+        near, far, split = (communities(g, resolution, **kw) for kw in ({}, {"local_edges": 0}, {"local_nodes": 0}))
+        assert near[1] == far[1] == split[1] == "modularity"
+        want = sorted(map(tuple, near[0].collect()))
+        assert sorted(map(tuple, far[0].collect())) == sorted(map(tuple, split[0].collect())) == want
+
+
 def test_alignment_recovers_renamed_labels(spark):
     a, _ = generators.block_pair(spark, blocks=6, size=60)
     b, truth = generators.renamed_copy(a, 0.15)
