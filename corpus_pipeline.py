@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from deltamesh.llm.common import cut, table
 from deltamesh.llm.stages import STAGES
 
-#: Toxicity scores come from a trained model, which SQL can't express; tests hold run() against a brute-force version.
+#: Toxicity scores come from a trained model, which SQL can't express; tests/llm/test_toxicity_and_pipeline.py holds run() against a plain Python version.
 ORACLE_SQL = None
 
 

@@ -2,13 +2,19 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
-from deltamesh.llm import toxicity
+import corpus_pipeline
+from deltamesh.llm import mixing, tokens, toxicity
 from deltamesh.llm.stages import ngram_jaccard, quality_rules
 from tests.llm.test_ngram_join import brute, shingles
+from tests.llm.test_simple_operators import judged
 
 BAD = ["zorkish", "blarfen", "idiot"]
 
@@ -136,3 +142,38 @@ def test_repeated_ids_are_decided_by_their_texts(spark):
     rows = [(2, b), (5, a), (5, b + " more"), (6, c), (6, d), (6, c + " more"), (6, c), (7, e), (7, e), (8, None), (8, None), (8, ""), (None, d + " more")]
     got = assert_one_per_group(spark, rows)
     assert {(2, b), (5, a), (6, d)} <= set(got) and len(got) == 8
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    r = random.Random(11)
+    words = [f"word{i}x" for i in range(300)]
+    clean = [" ".join(r.choice(words) for _ in range(r.randrange(60, 120))) for _ in range(240)]
+    bad = [" ".join(w if k % 12 else r.choice(BAD) for k, w in enumerate(t.split())) for t in clean[:80]]
+    a, b, c, d = clean[100:104]
+    odd = [(None, a + " more"), (None, b + " more"), (900, b), (None, "first " + " ".join(reversed(c.split()))), (None, "first " + " ".join(reversed(c.split())))]
+    odd += [(3000, " ".join(sorted(d.split()))), (3000, "last " + clean[104]), (3000, " ".join(sorted(clean[105].split()))), (None, bad[0]), (3001, None), (3001, ""), (3002, "few words"), (3002, "few words")]
+    rows = [*((i, t) for i, t in enumerate(clean)), *((1000 + i, t) for i, t in enumerate(bad)), *odd]
+    docs = [(d, t, "en", f"src{len(t or '') % 3}", 1.0, 5, "x") for d, t in rows]
+    # `score` and `n` are names that stages use too
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, score double, n int, s1 string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(d >= 1000)) for d, _ in rows if d is not None and d < 2000], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+
+    left = [x for x in docs if not any(w in (x[1] or "").split() for w in BAD)]
+    left = [x for x in left if judged((x[0], x[1]))[-1]]
+    ids, group = lowest_of_groups([x[:2] for x in left])
+    kept = {g: x for g, x in reversed(list(zip(group, left, strict=True))) if (x[0] is None, x[0] or 0) == ids[g]}
+    assert len(kept) < len(left) and sum(x[0] is None for x in kept.values()) == 1 and sum(x[0] == 3000 for x in kept.values()) == 2
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([x[0] for x in kept.values()], pa.int64()), "text": [x[1] for x in kept.values()], "source": [x[3] for x in kept.values()]}))
+    tokenizer, text_of = Tokenizer.from_file(tokens.default_path()), defaultdict(list)
+    for x in kept.values():
+        text_of[x[0], len(x[1].split())].append(x[1])
+    want = []
+    for doc, size, _, _, taken in con.execute(mixing.MIXING_SQL).fetchall():
+        (text,) = text_of[doc, size]
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = np.array(ids[k : k + 2048], "<u4")
+            want += [(doc, k // 2048, k, len(part), zlib.crc32(part.tobytes()))] * (taken // size)
+    assert sorted(got, key=str) == sorted(want, key=str)
