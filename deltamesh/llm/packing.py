@@ -13,6 +13,7 @@ turns the rank into bin and offset. Only piece rows of a few numbers are shuffle
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -66,40 +67,42 @@ def best_fit(lengths: dict[int, int], capacity: int) -> Counter[Pattern]:
     return out
 
 
-def improve(bins: Counter[Pattern], capacity: int, rounds: int = 2000) -> Counter[Pattern]:
+def improve(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """Local search: moves and one-for-one or two-for-one swaps between underfull bins.
 
-    Each step takes the emptiest pattern and looks, over the other underfull patterns, for the
-    change with the largest gain in squared fill. A donor that runs empty is a bin saved. It stops
-    when no change gains, when the bins are as few as the total asks, or after `rounds` changes.
+    Each step takes the emptiest pattern from which any change gains and makes, over the other
+    underfull patterns, the change with the largest gain in squared fill. A donor that runs empty
+    is a bin saved. It stops when no donor's change gains or when the bins are as few as the total
+    asks; squared fill rises with every change, so that comes.
     """
     total = sum(sum(p) * n for p, n in bins.items())
     least = -(-total // capacity)
     bins = Counter(bins)
-    for _ in range(rounds):
+    while True:
         open_bins = sorted((p for p, n in bins.items() if n and sum(p) < capacity), key=lambda p: (sum(p), p))
         if sum(bins.values()) <= least or len(open_bins) + (bins[open_bins[0]] > 1 if open_bins else 0) < 2:
             break
         change = None
-        for donor in open_bins[:8]:
+        for donor in open_bins:
             fill = sum(donor)
-            ones = sorted(set(donor), reverse=True)
-            twos = {donor[i] + donor[j]: (donor[i], donor[j]) for i in range(min(len(donor), 24)) for j in range(i)}
+            own = Counter(donor)
+            ones = sorted(own)
+            twos = {x + y: (x, y) for x in ones for y in ones if y < x or (y == x and own[x] > 1)}
+            sums = sorted(twos)
             best = (0, None, None, None)
             for taker in open_bins:
                 if taker == donor and bins[donor] < 2:
                     continue
-                room = capacity - sum(taker)
                 base = sum(taker)
-                give = next((x for x in ones if x <= room), None)
-                offers = [(give, (give,), ())] if give else []
-                for out in set(taker):
-                    most = max((x for x in ones if out < x <= room + out), default=None)
-                    if most:
-                        offers.append((most - out, (most,), (out,)))
-                    pair = max((x for x in twos if out < x <= room + out), default=None)
-                    if pair:
-                        offers.append((pair - out, twos[pair], (out,)))
+                room = capacity - base
+                offers = []
+                for out in (0, *set(taker)):
+                    at = bisect_right(ones, room + out)
+                    if at and ones[at - 1] > out:
+                        offers.append((ones[at - 1] - out, (ones[at - 1],), (out,) if out else ()))
+                    at = bisect_right(sums, room + out) if out else 0
+                    if at and sums[at - 1] > out:
+                        offers.append((sums[at - 1] - out, twos[sums[at - 1]], (out,)))
                 for gain, given, back in offers:
                     # (base + g)^2 + (fill - g)^2 - base^2 - fill^2
                     rise = 2 * gain * (base - fill + gain)

@@ -107,6 +107,20 @@ def test_local_search_saves_bins():
     assert sum(bins.values()) <= -(-sum(k * n for k, n in lengths.items()) // 256) * 1.01 + 1
 
 
+def test_local_search_ends_where_no_change_gains():
+    r = random.Random(2)
+    lengths = Counter(r.randrange(200, 900) for _ in range(300))
+    bins = packing.improve(packing.best_fit(lengths, 2048), 2048)
+    assert sum((Counter(x for p, n in bins.items() for x in p * n) - lengths).values()) == 0 and all(sum(p) <= 2048 for p in bins)
+    under = [p for p, n in bins.items() if sum(p) < 2048]
+    for donor in under:
+        given = {x for x in donor} | {donor[i] + donor[j] for i in range(len(donor)) for j in range(i)}
+        for taker in under:
+            if taker != donor or bins[donor] > 1:
+                gains = [g - out for g in given for out in {0, *taker} if out < g <= 2048 - sum(taker) + out and (out or g in donor)]
+                assert all(sum(taker) - sum(donor) + gain <= 0 for gain in gains)
+
+
 def judged(d):
     text = d[1] or ""
     words = WORD.findall(text)
