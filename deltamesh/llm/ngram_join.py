@@ -3,17 +3,28 @@
 Which pairs are looked at
     Documents with equal shingle sets form one class and go on as one. Two sets of similarity t or
     more share an element among the first n - ceil(t n) + 1 of each, in any order common to all.
-    The order used is by hash, with elements that are frequent in a sample of the documents last;
-    the sample only shapes the order, so it can't lose a pair. Documents that share such an element
-    form a tile.
+    The order used puts elements that are frequent in a sample of the documents last, the most
+    frequent at the end, and goes by hash otherwise; the sample only shapes the order, so it can't
+    lose a pair. Documents that share such an element form a tile.
+
+    An element at place p (from 0) of a set of n can be the first one shared only with sets of at
+    most 7 (n - p) / 3 - n elements: beyond that too few are left for the overlap 3 (n + m) / 7.
+    That size is the element's reach. A pair is looked for in the tile of its first shared element,
+    where both sizes lie within the other's reach, so rows without such a partner leave their tile.
 
 How a tile is searched
     First each tile ties its documents, per band of sizes, to the one with the most frequent
     elements (a group of edited copies has its original there). Those pairs are verified and
-    joined to components. Only tiles that still hold more than one component are searched in
-    full: bit counts of hashed bitmap signatures bound each overlap from above, pairs of the same
-    component are skipped, tiles with many documents are split into blocks, and what is left is
-    verified. Within a component nothing more is to be found, so no link between components is lost.
+    joined to components. Rows stay in a tile only if it holds a possible partner of another
+    component; of tiles that are left with the same rows one is searched. There, bit counts of
+    hashed bitmap signatures bound each overlap from above, and only rows that have a possible
+    partner by them bring their sets. The sets meet in the tile's own task, which intersects them
+    exactly and passes on the links that join two components, fewer than it has rows: no list of
+    pairs is ever written. Within a component nothing more is to be found, so no link between
+    components is lost.
+
+    Time in a tile grows with the square of its rows of other components, as every such pair has
+    to be looked at; large tiles are dealt to many tasks in cells of at most BLOCK by BLOCK rows.
 
 Verification is the intersection of sorted arrays of 64-bit shingle hashes.
 """
@@ -38,9 +49,15 @@ WIDTH = 5
 NUM, DEN = 3, 4
 #: One document in so many is read to find frequent elements; met so often there, one goes last.
 SAMPLE, OFTEN, MOST_FREQUENT = 8, 3, 400_000
-SALT, BLOCK, BEST = 32, 2048, 8
+#: A tile expected to hold more rows is tied in parts; rows and shingles on one side of a cell of a tile's search.
+PART_ROWS, BLOCK, BLOCK_SHINGLES = 512, 1024, 1 << 20
+#: Tiles of up to so many rows are tested pair by pair for partners of a possible size.
+SMALL_TILE = 64
 KEY_BITS = 48
-SLOTS = 1 << 23
+#: Bits of the array that marks wanted documents: 16 for each up to the larger number (16 MB).
+SLOTS, MOST_SLOTS = 1 << 23, 1 << 27
+#: Bytes of documents, and postings, that one task gathers.
+TASK_BYTES, TASK_POSTINGS = 32 << 20, 1_500_000
 _BANDS = 2.41  # bands per factor e: sizes within the similarity lie in the same or neighbouring bands
 
 
@@ -48,6 +65,11 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
+def reach(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest set with which the element at this place can be the first one shared."""
+    return (NUM + DEN) * (n - place) // NUM - n
+
+
 def shingle_sets(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of a slice's documents, and where each document's begin."""
     w = words_of(s, lower=True)
@@ -84,8 +106,8 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap_width(n: int) -> int:
-    """Bits of a signature: the power of two from twice the set's size on, 64 to 32768."""
-    return min(32768, max(64, 1 << (2 * int(n) - 1).bit_length()))
+    """Bits of a signature: the power of two from four times the set's size on, 64 to 65536."""
+    return min(65536, max(64, 1 << (4 * int(n) - 1).bit_length()))
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -108,8 +130,14 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def frequent(source: DataFrame, parts: int) -> np.ndarray:
-    """Sorted hashes of the elements to put last; at most MOST_FREQUENT, the most frequent ones."""
+def size_of(df: DataFrame) -> int:
+    """Bytes of input as Spark's planner knows them; 0 where it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def frequent(source: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the elements to put last and their counts in the sample; at most MOST_FREQUENT, the most frequent ones."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,8 +166,10 @@ def frequent(source: DataFrame, parts: int) -> np.ndarray:
 
     sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     packed = sample.mapInArrow(gather, "part int, keys binary, counts binary").repartition(parts, "part")
-    rows = packed.mapInArrow(total, "h long, n long").orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).select("h").toArrow()
-    return np.sort(np.asarray(rows.column("h").combine_chunks()).view(np.uint64))
+    rows = packed.mapInArrow(total, "h long, n long").orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = np.asarray(rows.column("h").combine_chunks()).view(np.uint64), np.asarray(rows.column("n").combine_chunks())
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def profiles(source: DataFrame, hot) -> DataFrame:
@@ -147,18 +177,20 @@ def profiles(source: DataFrame, hot) -> DataFrame:
     names = ["row", "doc_id", "n", "s1", "s2", "central", "bits", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(hot.value)
+        hashes, often = hot.value
+        look = Lookup(hashes)
+        level = np.r_[np.int64(1) + np.log2(np.maximum(often, 1)).astype(np.int64), 0]  # the last stands for absent ones
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for s in slices_of(batch.column(1)):
                 h, first = shingle_sets(s)
                 n = np.diff(first)
                 s1, s2 = set_keys(h, first)
-                is_hot = look(h) >= 0
-                n_hot = _sum(is_hot.astype(np.int64), first)
-                # cold before hot, by hash within each: a stable order on (document, hot)
+                how_hot = level[look(h)]
+                n_hot = _sum((how_hot > 0).astype(np.int64), first)
+                # rare before frequent, by hash within a level: a stable order on (document, level)
                 doc = np.repeat(np.arange(s.n), n)
-                order = np.argsort(doc * 2 + is_hot, kind="stable")
+                order = np.argsort(doc * 64 + how_hot, kind="stable")
                 rank = np.arange(len(h)) - np.repeat(first[:-1], n)
                 chosen = h[order][rank < np.repeat(prefix_length(n), n)] >> np.uint64(64 - KEY_BITS)
                 packed = np.ascontiguousarray(chosen.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
@@ -181,12 +213,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def deal(classes: DataFrame, hot, parts: int) -> DataFrame:
-    """Postings of the classes, packed by the partition that gets a key; keys of frequent elements are salted."""
-    names = ["part", "keys", "ids", "sizes", "centrals"]
+    """Postings of the classes, packed by the partition that gets a key; tiles expected to be large are split by salts."""
+    names = ["part", "keys", "ids", "sizes", "reaches", "centrals"]
+    in_part = PART_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = np.unique(hot.value >> np.uint64(64 - KEY_BITS)) << np.uint64(64 - KEY_BITS)
-        look = Lookup(hot_keys)
+        hashes, often = hot.value
+        many = often * SAMPLE > in_part
+        large, at = np.unique(hashes[many] >> np.uint64(64 - KEY_BITS), return_index=True)
+        splits = np.r_[-(-often[many][at] * SAMPLE // in_part), 0]  # the last stands for absent ones
+        look = Lookup(large << np.uint64(64 - KEY_BITS))
         for batch in batches:
             raw = batch.column("prefix").to_pylist()
             for a in range(0, len(raw), 2000):
@@ -194,38 +230,84 @@ def deal(classes: DataFrame, hot, parts: int) -> DataFrame:
                 key = _unpacked(b"".join(own))
                 count = np.array([len(x) // 6 for x in own])
                 cid, n, central = (np.repeat(np.asarray(batch.column(c))[a : a + 2000], count) for c in ("cid", "n", "central"))
-                salt = np.where(look(key << np.uint64(64 - KEY_BITS)) >= 0, cid % SALT + 1, 0).astype(np.uint64)
+                place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+                split = splits[look(key << np.uint64(64 - KEY_BITS))]
+                salt = np.where(split > 0, (mixed(cid.astype(np.uint64)) % np.maximum(split, 1).astype(np.uint64)).astype(np.int64) % ((1 << 16) - 1) + 1, 0).astype(np.uint64)
                 spread = (key * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
                 part = (spread % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
                 rows = []
-                salted = key | (salt << np.uint64(KEY_BITS))
+                columns = (key | (salt << np.uint64(KEY_BITS)), cid, n.astype(np.int32), reach(n, place).astype(np.int32), central.astype(np.int16))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     o = order[x:y]
-                    rows.append((int(part[o[0]]), salted[o].tobytes(), cid[o].tobytes(), n[o].astype(np.int32).tobytes(), central[o].astype(np.int16).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names)
+                    rows.append((int(part[o[0]]), *(c[o].tobytes() for c in columns)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names)
+
+    return classes.select("cid", "n", "central", "prefix").mapInArrow(run, "part int, keys binary, ids binary, sizes binary, reaches binary, centrals binary").repartition(parts, "part")
+
 
-    return classes.select("cid", "n", "central", "prefix").mapInArrow(run, "part int, keys binary, ids binary, sizes binary, centrals binary").repartition(parts, "part")
+def partnered(tile: np.ndarray, n: np.ndarray, far: np.ndarray, comp: np.ndarray | None = None) -> np.ndarray:
+    """Which rows have, in their tile, another row (of another component) such that each one's size is within the other's reach.
+
+    `tile` is sorted. In tiles of more than SMALL_TILE rows only the row's own reach is tested.
+    """
+    edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True]) if len(tile) else np.zeros(1, np.int64)
+    length = np.repeat(np.diff(edges), np.diff(edges))
+    after = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(tile)) - 1
+    keep = np.zeros(len(tile), bool)
+    at = np.flatnonzero((length <= SMALL_TILE) & (after > 0))
+    step = 1
+    while len(at):
+        to = at + step
+        hit = (n[to] <= far[at]) & (n[at] <= far[to])
+        if comp is not None:
+            hit &= comp[to] != comp[at]
+        keep[at[hit]] = True
+        keep[to[hit]] = True
+        step += 1
+        at = at[after[at] >= step]
+    big = np.flatnonzero(length > SMALL_TILE)
+    if len(big):
+        size, most = n[big].astype(np.int64), far[big].astype(np.int64)
+        least = -(-NUM * size // DEN)
+
+        def within(group: np.ndarray) -> np.ndarray:
+            """For each row, how many rows of its group have a size it can be paired with."""
+            code = np.sort(group * (1 << 32) + size)
+            return np.maximum(np.searchsorted(code, group * (1 << 32) + most, "right") - np.searchsorted(code, group * (1 << 32) + least, "left"), 0)
+
+        _, own = np.unique(tile[big], return_inverse=True)
+        own = own.ravel().astype(np.int64)
+        if comp is None:
+            itself = (size <= most).astype(np.int64)
+            keep[big] = within(own) > itself
+        else:
+            _, part = np.unique(np.stack([own, comp[big]]), axis=1, return_inverse=True)
+            keep[big] = within(own) > within(part.ravel().astype(np.int64))
+    return keep
 
 
 def tie(dealt: DataFrame) -> DataFrame:
-    """Rows (a, b, key, salted, central): members of every tile with more than one, each with its tile's centre in two systems of bands."""
-    names = ["key", "salted", "id", "n", "central", "centre1", "centre2"]
+    """Rows of tiles (key, salted, id, n, far, central): members that may have a partner, each with its tile's centre in two systems of bands."""
+    names = ["key", "salted", "id", "n", "far", "central", "centre1", "centre2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
-            for k, (c, t) in enumerate((("keys", "<u8"), ("ids", "<i8"), ("sizes", "<i4"), ("centrals", "<i2"))):
+            for k, (c, t) in enumerate((("keys", "<u8"), ("ids", "<i8"), ("sizes", "<i4"), ("reaches", "<i4"), ("centrals", "<i2"))):
                 held[k].append(np.frombuffer(b"".join(batch.column(c).to_pylist()), t))
         if not held[0]:
             return
-        key, cid, n, central = (np.concatenate(x) for x in held)
+        key = np.concatenate(held[0])
         order = np.argsort(key, kind="stable")
-        k = key[order]
-        same = np.r_[False, k[1:] == k[:-1], False]
-        order = order[same[1:] | same[:-1] | (k >> np.uint64(KEY_BITS) > 0)]
-        key, cid, n, central = key[order], cid[order], n[order], central[order]
+        key = key[order]
+        same = np.r_[False, key[1:] == key[:-1], False]
+        few = same[1:] | same[:-1] | (key >> np.uint64(KEY_BITS) > 0)
+        key, order = key[few], order[few]
+        cid, n, far, central = (np.concatenate(x)[order] for x in held[1:])
+        keep = partnered(key, n, far) | (key >> np.uint64(KEY_BITS) > 0)
+        key, cid, n, far, central = (x[keep] for x in (key, cid, n, far, central))
         if not len(key):
             return
         centres = []
@@ -233,36 +315,38 @@ def tie(dealt: DataFrame) -> DataFrame:
             band = np.floor(np.log(n) * _BANDS + shift).astype(np.int64)
             by = np.lexsort((cid, -central.astype(np.int64), band, key))
             head = np.r_[True, (key[by][1:] != key[by][:-1]) | (band[by][1:] != band[by][:-1])]
-            centre = np.empty(len(key), np.int64)
             length = np.diff(np.r_[np.flatnonzero(head), len(key)])
-            centre[by] = np.repeat(cid[by][head], length)
-            own, of_centre = n[by].astype(np.int64), np.repeat(n[by][head], length).astype(np.int64)
-            apart = DEN * np.minimum(own, of_centre) < NUM * np.maximum(own, of_centre)
-            centre[by[apart]] = cid[by[apart]]  # sizes too far apart to be tied
+            own, of_centre = by, np.repeat(by[head], length)
+            centre = np.empty(len(key), np.int64)
+            near = (n[own] <= far[of_centre]) & (n[of_centre] <= far[own])
+            centre[own] = cid[np.where(near, of_centre, own)]  # one out of reach stands alone
             centres.append(centre)
         salted = (key >> np.uint64(KEY_BITS)) > 0
         plain = (key & np.uint64((1 << KEY_BITS) - 1)).view(np.int64)
         for a in range(0, len(key), 50_000):
-            cols = [plain, salted, cid, n, central, *centres]
+            cols = [plain, salted, cid, n, far, central, *centres]
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], names)
 
-    return dealt.mapInArrow(run, "key long, salted boolean, id long, n int, central short, centre1 long, centre2 long")
+    return dealt.mapInArrow(run, "key long, salted boolean, id long, n int, far int, central short, centre1 long, centre2 long")
 
 
-def needed_slots(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size over hashes of the ids: one megabyte, whatever the number of ids."""
-    slot = F.pmod(F.hash("doc_id"), F.lit(SLOTS)).cast("long")
+def needed_slots(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of bits, and a bit array over hashes of the ids: 16 bits an id, one megabyte at least and 16 at most."""
+    count = ids.count()
+    bits = min(MOST_SLOTS, max(SLOTS, 1 << (16 * count).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     rows = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-    out = np.zeros(SLOTS // 32768 + 2, dtype="V4096")
+    out = np.zeros(bits // 32768 + 2, dtype="V4096")
     for r in rows:
         out[r["bucket"]] = bytes(r["bits"])
-    return out.view(np.uint8)
+    return bits, out.view(np.uint8)
 
 
 def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (cid, hashes) of the wanted classes (cid, doc_id, s1, s2): their documents are found by a bit array and shingled again."""
     spark = source.sparkSession
-    slots = spark.sparkContext.broadcast(needed_slots(wanted))
+    n_slots, bits = needed_slots(wanted)
+    slots = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = slots.value
@@ -279,7 +363,7 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [raw[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(sets, pa.binary())], ["s1", "s2", "hashes"])
 
-    slot = F.pmod(F.hash("doc_id"), F.lit(SLOTS)).cast("long")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(n_slots))
     found = source.select(slot.alias("slot"), "text").mapInArrow(run, "s1 long, s2 long, hashes binary")
     return found.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).groupBy("cid").agg(F.any_value("hashes").alias("hashes"))
 
@@ -325,144 +409,184 @@ def _possible(x: np.ndarray, n: int, ys: np.ndarray, ns: np.ndarray) -> np.ndarr
     return DEN * overlap >= NUM * (n + ns - overlap)
 
 
-def unsettled_rows(label: DataFrame) -> DataFrame:
-    """Rows (key, id, comp, n, salted) that have, in their tile, a partner of another component and of a possible size."""
+def unsettled_rows(label: DataFrame, parts: int) -> DataFrame:
+    """Rows (key, id, comp, n) that have, in their tile, a partner of another component within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not held:
             return
         t = pa.Table.from_batches(held)
-        key, comp, n = (t[c].to_numpy() for c in ("key", "comp", "n"))
-        low, high = -(-NUM * n.astype(np.int64) // DEN), DEN * n.astype(np.int64) // NUM
-
-        def within(group: np.ndarray) -> np.ndarray:
-            """For each row, how many rows of its group have a size from low to high."""
-            order = np.lexsort((n, group))
-            code = group[order].astype(np.int64) * (1 << 26) + n[order]
-            return np.searchsorted(code, group * (1 << 26) + high, "right") - np.searchsorted(code, group * (1 << 26) + low, "left")
-
-        _, tile = np.unique(key, return_inverse=True)
-        _, part = np.unique(np.stack([tile, comp]), axis=1, return_inverse=True)
-        keep = within(tile.astype(np.int64)) > within(part.ravel().astype(np.int64))
-        for batch in t.filter(pa.array(keep)).to_batches(max_chunksize=50_000):
+        order = np.argsort(t["key"].to_numpy(), kind="stable")
+        key, comp, n, far = (t[c].to_numpy()[order] for c in ("key", "comp", "n", "far"))
+        chosen = np.sort(order[partnered(key, n, far, comp)])
+        for batch in t.take(pa.array(chosen)).to_batches(max_chunksize=50_000):
             yield batch
 
-    plain = label.where("not salted").repartition("key").mapInArrow(run, label.schema)
-    # tiles of frequent elements may be of any size: they go on whole
-    return plain.unionByName(label.where("salted"))
-
-
-def search_tiles(rows: DataFrame, best: int | None) -> DataFrame:
-    """Rows (a, b, capped): pairs across components that the signatures allow, the `best` nearest sizes per document and tile (all if null)."""
-    names = ["a", "b", "capped"]
-
-    def tile(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list, left: np.ndarray, right: np.ndarray) -> Iterator[tuple]:
-        width = np.array([8 * len(x) for x in bits])
-        for w in np.unique(width[left]).tolist():
-            for v in (w // 2, w, 2 * w):
-                xs, ys = np.flatnonzero(left & (width == w)), np.flatnonzero(right & (width == v))
-                if not len(xs) or not len(ys):
-                    continue
-                ys = ys[np.argsort(n[ys], kind="stable")]
-                u = min(w, v)
-                sets, ns = np.stack([folded(bits[j], u) for j in ys.tolist()]), n[ys]
-                low, high = np.searchsorted(ns, -(-NUM * n[xs] // DEN), "left"), np.searchsorted(ns, DEN * n[xs] // NUM, "right")
-                for i, a, b in zip(xs.tolist(), low.tolist(), high.tolist(), strict=True):
-                    other = np.flatnonzero(comp[ys[a:b]] != comp[i]) + a
-                    if not len(other):
-                        continue
-                    hit = ys[other[_possible(folded(bits[i], u), n[i], sets[other], ns[other])]]
-                    capped = best is not None and len(hit) > best
-                    if capped:
-                        hit = hit[np.argsort(np.abs(n[hit] - n[i]), kind="stable")[:best]]
-                    if len(hit):
-                        yield np.minimum(cid[i], cid[hit]), np.maximum(cid[i], cid[hit]), np.full(len(hit), capped)
-
-    def flush(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        key, block, cid, comp, n, role = (t[c].to_numpy() for c in ("key", "block", "id", "comp", "n", "role"))
-        n = n.astype(np.int64)
-        bits = t["bits"].to_pylist()
+    plain = label.where("not salted").repartition(parts, "key").mapInArrow(run, label.schema)
+    # tiles in parts may be of any size: their rows are held against a summary of the tile by bands of sizes
+    large = label.where("salted")
+    band = F.floor(F.log(F.col("n")) * 32).alias("band")
+    bands = large.groupBy("key", band).agg(F.min("n").alias("least"), F.max("far").alias("most"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    summary = bands.groupBy("key").agg(F.collect_list(F.struct("least", "most", "one", "other")).alias("bands"))
+    other = F.exists("bands", lambda z: (z["least"] <= F.col("far")) & (F.col("n") <= z["most"]) & ((z["one"] != F.col("comp")) | (z["other"] != F.col("comp"))))
+    kept = large.join(summary, "key").where(other)
+    columns = ["key", "id", "comp", "n"]
+    return plain.select(*columns).unionByName(kept.select(*columns))
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, comp, n, members, shingles, major, ..) of tiles, dealt to cells (block) with a role.
+
+    Role 1 is to look for partners, 2 to be found, 3 both. A small tile is one cell that holds each
+    row once; of larger ones every block of seekers meets every block of rows. Rows of the tile's
+    largest component don't seek.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("long")
+    cells = F.sequence(F.lit(0), blocks - 1)
+
+    def place(block: Column, role: int) -> Column:
+        return F.struct(block.cast("long").alias("block"), F.lit(role).alias("role"))
+
+    seek, sought = F.transform(cells, lambda c: place(own * 1_000_000 + c, 1)), F.transform(cells, lambda c: place(c * 1_000_000 + own, 2))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.when(F.col("major"), 2).otherwise(3).alias("role")))
+    places = F.when(blocks <= 1, one).when(F.col("major"), sought).otherwise(F.concat(seek, sought))
+    return rows.withColumn("p", F.explode(places)).select("key", "p.block", "id", "comp", "n", F.col("p.role").alias("role"))
+
+
+def by_cell(rows: DataFrame, payload: str, parts: int, search, schema: str) -> DataFrame:
+    """Cells (key, block) whole to one task each, one after the other: `search(table)` gives a record batch or none."""
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        key, block = t["key"].to_numpy(), t["block"].to_numpy()
         edges = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(block) != 0), True])
-        found = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            found += tile(cid[a:b], comp[a:b], n[a:b], bits[a:b], role[a:b] & 1 > 0, role[a:b] & 2 > 0)
-        if found:
-            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], names)
+            found = search(t.slice(a, b - a))
+            if found is not None and found.num_rows:
+                yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:  # sorted by tile: keep the open tile, search what is complete
-            if held and batch.num_rows and sum(x.num_rows for x in held) >= 20_000:
-                last = (held[-1].column("key")[-1].as_py(), held[-1].column("block")[-1].as_py())
-                new = np.flatnonzero((np.asarray(batch.column("key")) != last[0]) | (np.asarray(batch.column("block")) != last[1]))
-                if len(new):
-                    held.append(batch.slice(0, int(new[0])))
-                    yield from flush(held)
-                    held, batch = [], batch.slice(int(new[0]))
-            if batch.num_rows:
+        for whole in batches:  # sorted by cell: keep the open cell, search what is complete
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                if held:
+                    last = (held[-1].column("key")[-1].as_py(), held[-1].column("block")[-1].as_py())
+                    new = np.flatnonzero((np.asarray(batch.column("key")) != last[0]) | (np.asarray(batch.column("block")) != last[1]))
+                    if len(new):
+                        held.append(batch.slice(0, int(new[0])))
+                        yield from flush(held)
+                        held, batch = [], batch.slice(int(new[0]))
                 held.append(batch)
         if held:
             yield from flush(held)
 
-    # role 1: a document to find partners for, 2: one to be found. Tiles of up to BLOCK rows hold each
-    # document once; of larger ones every block of seekers meets every block of documents
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.hash("id"), blocks)
-    cells = F.sequence(F.lit(0), blocks - 1)
-    seek, sought = F.transform(cells, lambda c: F.struct((own * 100_000 + c).alias("block"), F.lit(1).alias("role"))), F.transform(cells, lambda c: F.struct((c * 100_000 + own).alias("block"), F.lit(2).alias("role")))
-    one = F.array(F.struct(F.lit(0).alias("block"), F.when(F.col("major"), 2).otherwise(3).alias("role")))
-    places = F.when(blocks <= 1, one).when(F.col("major"), sought).otherwise(F.concat(seek, sought))
-    placed = rows.withColumn("p", F.explode(places)).select("key", F.col("p.block").cast("long").alias("block"), "id", "comp", "n", "bits", F.col("p.role").cast("int").alias("role"))
-    return placed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long, capped boolean")
+    dealt = rows.select("key", "block", "id", "comp", "n", "role", payload).repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(run, schema)
+
+
+def suspects(cell: pa.Table) -> pa.RecordBatch | None:
+    """The rows of a cell that have, by their signatures, a possible partner of another component."""
+    comp, n, role = (cell[c].to_numpy() for c in ("comp", "n", "role"))
+    n = n.astype(np.int64)
+    bits = cell["bits"].to_pylist()
+    width = np.array([8 * len(x) for x in bits])
+    flagged = np.zeros(len(n), bool)
+    for w in np.unique(width[(role & 1) > 0]).tolist():
+        for v in (w // 2, w, 2 * w):
+            xs, ys = np.flatnonzero((role & 1 > 0) & (width == w)), np.flatnonzero((role & 2 > 0) & (width == v))
+            if not len(xs) or not len(ys):
+                continue
+            u = min(w, v)
+            left, right = (np.stack([folded(bits[j], u) for j in own.tolist()]) for own in (xs, ys))
+            count_left, count_right = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (left, right))
+            step = max(1, 2_000_000 // (len(ys) * left.shape[1]))
+            for a in range(0, len(xs), step):
+                x = xs[a : a + step]
+                both = np.bitwise_count(left[a : a + step, None] & right[None]).sum(2, dtype=np.int64)
+                # an element in one bitmap only is in one set only
+                overlap = np.minimum(n[x][:, None] - (count_left[a : a + step, None] - both), n[ys][None] - (count_right[None] - both))
+                hit = (DEN * overlap >= NUM * (n[x][:, None] + n[ys][None] - overlap)) & (comp[x][:, None] != comp[ys][None])
+                flagged[x] |= hit.any(1)
+                flagged[ys] |= hit.any(0)
+    if not flagged.any():
+        return None
+    return cell.select(["key", "block", "id", "comp", "n", "role"]).filter(pa.array(flagged)).combine_chunks().to_batches()[0]
+
+
+def joining_links(cell: pa.Table) -> pa.RecordBatch | None:
+    """Pairs (a, b) of components that a link between two sets of the cell joins; fewer than it has components."""
+    comp, role = cell["comp"].to_numpy().copy(), cell["role"].to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in cell["hashes"].to_pylist()]
+    n = np.array([len(x) for x in sets], np.int64)
+    xs, ys = np.flatnonzero(role & 1 > 0), np.flatnonzero(role & 2 > 0)
+    if not len(xs) or not len(ys):
+        return None
+    element = np.concatenate([sets[j] for j in ys.tolist()])
+    owner = np.repeat(np.arange(len(ys)), n[ys])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    found, at = [], 0
+    while at < len(xs):
+        # seekers whose elements meet about four million postings at once
+        stop = at + max(1, int(np.searchsorted(np.cumsum(n[xs[at : at + 256]]), 4_000_000 // len(ys) + 1)))
+        own = xs[at:stop]
+        h = np.concatenate([sets[i] for i in own.tolist()])
+        low, high = np.searchsorted(element, h, "left"), np.searchsorted(element, h, "right")
+        times = high - low
+        seeker = np.repeat(np.repeat(np.arange(len(own)), n[own]), times)
+        posting = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        overlap = np.bincount(seeker * len(ys) + owner[posting], minlength=len(own) * len(ys)).reshape(len(own), len(ys))
+        similar = DEN * overlap >= NUM * (n[own][:, None] + n[ys][None] - overlap)
+        for i, row in zip(own.tolist(), similar, strict=True):
+            for other in np.unique(comp[ys[row]]).tolist():
+                if other != comp[i]:
+                    found.append((min(other, int(comp[i])), max(other, int(comp[i]))))
+                    comp[comp == found[-1][1]] = found[-1][0]
+        at = stop
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def components_of(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The profiles of (doc_id, text) rows, and rows (cid, s1, s2, n, doc_id, comp): each distinct non-empty set, its smallest id and its component."""
     spark = source.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = spark.sparkContext.broadcast(frequent(source, parts))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = spark.sparkContext.broadcast(frequent(source, max(least, size_of(source) // SAMPLE // TASK_BYTES + 1)))
     rows = cut(profiles(source, hot), "profiles")
     by_set = ["s1", "s2", "n"]
     filled = rows.where("n > 0")
     classes = cut(filled.groupBy(*by_set).agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id"), F.any_value("central").alias("central"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix")), "classes")
+    postings = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    parts = max(least, postings // (KEY_BITS // 8) // TASK_POSTINGS + 1)
 
     tiles = cut(tie(deal(classes, hot, parts)), "tiles")
     centres = tiles.select(F.col("centre1").alias("a"), F.col("id").alias("b")).unionByName(tiles.select(F.col("centre2").alias("a"), F.col("id").alias("b")))
-    # centres of the salted parts of a frequent element are tied to the most central of them
+    # centres of the parts of a large tile are tied to the most central of them
     part_centres = tiles.where("salted and (id = centre1 or id = centre2)").select("key", F.floor(F.log(F.col("n")) * _BANDS).alias("band"), "id", "n", "central").distinct()
     top = part_centres.groupBy("key", "band").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), F.col("n").alias("m"))).alias("top"))
     across = part_centres.join(top, ["key", "band"]).where(F.least("n", "top.m") * DEN >= F.greatest("n", "top.m") * NUM).select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"))
     ties = cut(centres.unionByName(across).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ties")
-    links = verified(ties, classes, source)
-
-    components = connected(links)
-    tested = ties
-    for best in (BEST, None):
-        label = tiles.select("key", "salted", "id", "n").join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "salted", "id", "n", "comp").distinct()
-        label = cut(unsettled_rows(label), "labelled")
-        mark = F.xxhash64("id")
-        sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
-        per_key = sizes.groupBy("key").agg(F.sum("held").alias("members"), F.max(F.struct("held", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("comps > 1")
-        # tiles with the same members hold the same pairs: one of them is searched
-        per_key = per_key.groupBy("members", "x", "y").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "members", "one.top")
-        open_rows = label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp")).select("key", "id", "comp", "n", "members", "major")
-        open_rows = open_rows.join(classes.select(F.col("cid").alias("id"), "bits"), "id")
-        found = cut(search_tiles(open_rows, best), "pairs")
-        capped = not found.where("capped").isEmpty()
-        pairs = cut(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = verified(pairs, classes, source)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            components = connected(links)
-        if not capped:  # every pair that the signatures allow has been verified
-            break
-        tested = tested.unionByName(pairs)
-
-    grouped = classes.select("cid", "s1", "s2", "n", "doc_id").join(components, F.col("cid") == F.col("id"), "left")
-    return rows, grouped.select("cid", "s1", "s2", "n", "doc_id", F.coalesce("component", "cid").alias("comp"))
+    components = connected(verified(ties, classes, source))
+
+    label = tiles.select("key", "salted", "id", "n", "far").join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "salted", "id", "n", "far", "comp")
+    label = cut(unsettled_rows(label, parts), "unsettled")
+    mark = F.xxhash64("id")
+    sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
+    per_key = sizes.groupBy("key").agg(F.sum("held").alias("members"), F.sum("shingles").alias("shingles"), F.max(F.struct("held", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("comps > 1")
+    # tiles with the same members hold the same pairs: one of them is searched
+    per_key = per_key.groupBy("members", "shingles", "x", "y").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "members", "shingles", "one.top")
+    open_rows = in_cells(label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp")))
+    signed = open_rows.join(classes.select(F.col("cid").alias("id"), "bits"), "id")
+    hopeful = cut(by_cell(signed, "bits", parts, suspects, "key long, block long, id long, comp long, n int, role int"), "suspects")
+    wanted = cut(classes.join(hopeful.select(F.col("id").alias("cid")).distinct(), "cid").select("cid", "doc_id", "s1", "s2"), "wanted")
+    sets = cut(sets_of(source, wanted), "sets").withColumnRenamed("cid", "id")
+    joined = connected(cut(by_cell(hopeful.join(sets, "id"), "hashes", parts, joining_links, "a long, b long"), "joining"))
+
+    first = classes.select("cid", "s1", "s2", "n", "doc_id").join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("first", F.coalesce("component", "cid"))
+    last = first.join(joined.select(F.col("id").alias("first"), F.col("component").alias("merged")), "first", "left")
+    return rows, last.select("cid", "s1", "s2", "n", "doc_id", F.coalesce("merged", "first").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

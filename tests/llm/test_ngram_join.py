@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from deltamesh.llm.ngram_join import near_duplicates, shingle_sets
+from deltamesh.llm import ngram_join
+from deltamesh.llm.ngram_join import near_duplicates, partnered, reach, shingle_sets
 from deltamesh.llm.textarrays import slices_of
 
 SCHEMA = "lang string, doc_id long, text string, n long, s1 string"
@@ -78,3 +79,53 @@ def test_sets_have_the_sizes_of_python_sets():
     for s in slices_of(pa.array(texts, pa.string()), limit=5000):
         sizes += np.diff(shingle_sets(s)[1]).tolist()
     assert sizes == [len(shingles(t)) for t in texts]
+
+
+def near_misses(seed):
+    """A large group whose members are mostly a little too different from each other, and a chain through it."""
+    r = random.Random(seed)
+    hub = [f"h{i}" for i in range(90)]
+    rows = []
+    for i in range(260):
+        w = list(hub[: r.choice([60, 75, 90])])
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(30):
+        rows.append((500 - i, " ".join(chain)))
+        chain[(7 * i) % 60] = f"x{i}"
+    return rows
+
+
+def test_large_tiles_in_parts_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rows = near_misses(3)
+    want = brute(rows)
+    assert 20 < len({c for _, _, c in want}) < len(rows) - 20
+    assert run(spark, rows) == want
+
+
+def test_partners_within_reach_as_all_pairs(monkeypatch):
+    r = np.random.default_rng(2)
+    for small in (64, 3):
+        monkeypatch.setattr(ngram_join, "SMALL_TILE", small)
+        tile = np.sort(r.integers(0, 60, 400))
+        n = r.integers(5, 60, 400)
+        far = reach(n, r.integers(0, 1 + n // 4))
+        for comp in (None, r.integers(0, 9, 400)):
+            one = (tile[:, None] == tile) & (n[None] <= far[:, None]) & (4 * n[None] >= 3 * n[:, None])
+            one &= ~np.eye(400, dtype=bool) if comp is None else comp[:, None] != comp
+            got = partnered(tile, n, far, comp)
+            assert (got >= (one & one.T).any(1)).all() and (got <= one.any(1)).all()
+            if small == 64:
+                assert (got == (one & one.T).any(1)).all()
+
+
+def test_cells_pass_on_fewer_links_than_rows():
+    r = random.Random(8)
+    sets = [np.unique(np.array([r.randrange(1, 130) for _ in range(400)], "<u8")) for _ in range(150)]
+    cell = pa.table({"comp": np.arange(150), "role": np.full(150, 3, np.int32), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
+    links = ngram_join.joining_links(cell)
+    assert links.num_rows == 149 and all(a < b for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True))
