@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from deltamesh.llm import ctw
 from deltamesh.llm.textarrays import slices_of
@@ -22,13 +24,13 @@ def tokens(t):
     return (t or "").encode().lower().split() + [b"\0end"]
 
 
-def tree_score(train, text):
+def tree_score(train, text, depth):
     """The context tree, node by node and without arrays."""
     counts = Counter()
     for t in train:
-        b = b"\0\0" + t
-        for i in range(2, len(b)):
-            for d in range(3):
+        b = b"\0" * depth + t
+        for i in range(depth, len(b)):
+            for d in range(depth + 1):
                 node = 1
                 for k in range(8):
                     bit = b[i] >> (7 - k) & 1
@@ -38,8 +40,8 @@ def tree_score(train, text):
     own = {}
     for ctx, node, _ in counts:
         own[ctx, node] = kt(counts[ctx, node, 0], counts[ctx, node, 1])
-    mix = {k: v for k, v in own.items() if len(k[0]) == 2}
-    for d in (1, 0):
+    mix = {k: v for k, v in own.items() if len(k[0]) == depth}
+    for d in range(depth - 1, -1, -1):
         below = Counter()
         for (ctx, node), v in mix.items():
             if len(ctx) == d + 1:
@@ -48,17 +50,17 @@ def tree_score(train, text):
             if len(ctx) == d:
                 mix[ctx, node] = math.log(0.5) + np.logaddexp(v, below[ctx, node])
     total = 0.0
-    b = b"\0\0" + text
-    for i in range(2, len(b)):
+    b = b"\0" * depth + text
+    for i in range(depth, len(b)):
         node = 1
         for k in range(8):
             bit = b[i] >> (7 - k) & 1
             p = None
-            for d in (2, 1, 0):
+            for d in range(depth, -1, -1):
                 ctx = b[i - d : i]
                 z, o = counts[ctx, node, 0], counts[ctx, node, 1]
                 e = (o + 0.5) / (z + o + 1)
-                if d == 2:
+                if d == depth:
                     p = e
                 else:
                     stop = math.exp(math.log(0.5) + own[ctx, node] - mix[ctx, node]) if (ctx, node) in own else 0.5
@@ -68,10 +70,12 @@ def tree_score(train, text):
     return total
 
 
-def test_same_as_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("depth", [5, 3])
+def test_same_as_brute_force(spark, monkeypatch, depth):
     monkeypatch.setattr(ctw, "HEAD", 3)
+    monkeypatch.setattr(ctw, "HEAD_GRAMS", 40)
     df = spark.createDataFrame([(0.5, d, t, 1) for d, t in ROWS], SCHEMA)
-    got = sorted((tuple(r) for r in ctw.score_texts(df).collect()), key=str)
+    got = sorted((tuple(r) for r in ctw.score_texts(df, depth=depth).collect()), key=str)
     train = [t or "" for d, t in ROWS if not held(d)]
     c = Counter(x for t in train for x in tokens(t))
     n, v = sum(c.values()), len(c)
@@ -79,12 +83,14 @@ def test_same_as_brute_force(spark, monkeypatch):
     for d, t in ROWS:
         ws = tokens(t)
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ws)
-        want.append((d, held(d), len(ws), sum(c[x] > 0 for x in ws), n, base, tree_score([x.encode() for x in train], (t or "").encode())))
+        want.append((d, held(d), len(ws), sum(c[x] > 0 for x in ws), n, base, tree_score([x.encode() for x in train], (t or "").encode(), depth)))
     want.sort(key=str)
     for g, w in zip(sorted(got, key=lambda r: (str(r[:4]), r[6])), sorted(want, key=lambda r: (str(r[:4]), r[6])), strict=True):
         assert g[:5] == w[:5]
         assert math.isclose(g[5], w[5], rel_tol=1e-9, abs_tol=1e-9)
         assert math.isclose(g[6], w[6], rel_tol=1e-4, abs_tol=1e-6)
+    for r in ctw.score_texts(df).where("n_tokens = 1 or doc_id = 6").collect():
+        assert r.bits_per_byte is None if r.score == 0 else math.isclose(r.bits_per_byte, -r.score / math.log10(2) / (5000 if r.doc_id == 6 else 2), rel_tol=1e-9)
 
 
 def test_empty_and_untrained(spark):
@@ -97,7 +103,19 @@ def test_empty_and_untrained(spark):
 
 def test_probabilities_sum_to_one():
     (s,) = slices_of(pa.array(["some text, some more text; the same text"]))
-    pair, byte = ctw.contexts(s)
-    k, n = np.unique((pair.astype(np.int64) << 8) | byte, return_counts=True)
-    tree = ctw.ContextTree(k, n.astype(float))
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-5)
+    key, n = np.unique(ctw.grams(s, 4), return_counts=True)
+    for context in np.unique(key >> 8)[::7]:
+        every = np.unique(np.r_[key, (context << 8) | np.arange(256)])
+        count = np.zeros(len(every))
+        count[np.searchsorted(every, key)] = n
+        entry, sums, p = ctw.fold(every, count, 4)
+        log = ctw.Top(entry, *sums).log10(every, p, 4)
+        assert math.isclose((10.0 ** log[every >> 8 == context]).sum(), 1, rel_tol=1e-9)
+
+
+def test_deeper_contexts_tell_more(spark):
+    r = random.Random(1)
+    words = [f"{x}ing{x}" for x in "abcdefgh"]
+    rows = [(0.5, i, " ".join(r.choice(words) for _ in range(60)), 1) for i in range(400)]
+    bits = [ctw.score_texts(spark.createDataFrame(rows, SCHEMA), depth=d).where("held_out").agg({"bits_per_byte": "avg"}).first()[0] for d in (3, 5)]
+    assert bits[1] < bits[0] - 0.1
