@@ -198,11 +198,25 @@ def test_search_prunes_blocks():
     r = np.random.default_rng(1)
     centre = r.normal(size=(20, 16)) * 40
     v = np.floor(centre[r.integers(0, 20, 8000)] + r.normal(size=(8000, 16))).astype(np.int64)
-    best, scored = topk.search(np.arange(10), v[:10], np.arange(8000), v, 5, np.full(10, topk._LOWEST))
-    assert scored < 10 * 8000 / topk.BLOCK / 2
     s = v[:10] @ v.T
     s[np.arange(10), np.arange(10)] = topk._LOWEST
-    assert (np.sort(s, 1)[:, ::-1][:, :5] == best.score).all()
+    want = np.sort(s, 1)[:, ::-1][:, :5]
+    best = topk.Best(10, 5, np.full(10, topk._LOWEST))
+    scored = [topk.search(best, np.arange(10), v[:10], np.arange(a, a + 2000), v[a : a + 2000]) for a in range(0, 8000, 2000)]
+    assert (want == best.score).all()
+    assert sum(x for x, _ in scored) < sum(x for _, x in scored) / 4
+
+
+def test_bounds_hold_and_large_components_do_not_wrap():
+    r = np.random.default_rng(4)
+    for scale, kind in ((1 << 28, "uniform"), (50, "normal")):
+        v = (r.uniform(-1, 1, (500, 64)) if kind == "uniform" else r.normal(size=(500, 64))) * scale
+        v = np.floor(v).astype(np.int64)
+        order, starts = topk.ranges(v, 32)
+        assert sorted(order.tolist()) == list(range(500)) and np.diff(np.r_[starts, 500]).max() <= 32
+        v = v[order]
+        score = np.maximum.reduceat(v.astype(object) @ v[:40].T.astype(object), starts).T
+        assert (topk.bounds(v[:40], v, starts) >= score.astype(float)).all()
 
 
 def test_archives(spark):
