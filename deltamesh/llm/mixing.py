@@ -4,12 +4,15 @@ Tokens are summed per source, the targets are levelled in one pass over the (sma
 each source's repetition rate is target / size, and a document is taken floor(rate) times plus one
 more time by a hash-seeded draw whose probability is the rate's fraction.
 
-The draw compares a document's hash position u in [0, 1) with a threshold per source. With
-independent draws the words taken scatter about the target, widely for small sources. So the
-threshold is read off the source's own hash distribution: the first of 4096 bins of u up to which
-the source's words come nearest to fraction * size. For growing sources it converges to the
-fraction itself, every document has the fraction as its chance over the seeds, and the same seed
+The draw compares a document's hash position u, 52 bits in [0, 1), with the fraction: a document is
+taken once more if u, moved on by its source's offset around the circle, lies below the fraction.
+For every offset that is a draw with the fraction as its probability. Independent draws alone
+scatter about the target, widely for small sources, so of OFFSETS evenly spaced offsets each source
+takes the one whose words come nearest to fraction * size (the first of equals). The same seed
 gives the same documents again, whatever the partitioning.
+
+The plan is a table of one row per source and is levelled in one task; sources are names of
+collections, of which a corpus has thousands, not millions.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from deltamesh.llm.common import cut
 
-BINS = 4096
+OFFSETS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 
@@ -30,15 +33,20 @@ def word_count(text: Column) -> Column:
 
 
 def position(seed: int) -> Column:
-    """A document's bin of hash positions: the first three hexadecimal digits of an md5 over all it is."""
+    """A document's hash position: the first thirteen hexadecimal digits of an md5 over all it is, as a fraction."""
     whole = F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return F.conv(F.substring(F.md5(whole), 1, 3), 16, 10).cast("int")
+    return F.conv(F.substring(F.md5(whole), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+
+
+def drawn(u: Column, offset: Column, fraction: Column) -> Column:
+    """1 where the position, moved on by the offset (in parts of OFFSETS), lies below the fraction, else 0."""
+    moved = u + offset.cast("double") / F.lit(float(OFFSETS))
+    return F.when(moved - F.floor(moved) < fraction, 1).otherwise(0)
 
 
 def source_plan(sized: DataFrame) -> DataFrame:
-    """One row per source: size, weight, target, whole repeats and the draw's threshold in bins."""
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("held"))
-    totals = bins.groupBy("source").agg(F.sum("held").alias("source_size"))
+    """One row per source: size, target, whole repeats, the fraction and the draw's offset; from rows (source, size, u)."""
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     weighed = totals.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1)
@@ -59,17 +67,13 @@ def source_plan(sized: DataFrame) -> DataFrame:
         .withColumn("fraction", F.col("rate") - F.col("whole"))
         .select("source", "source_size", "target", "whole", "fraction")
     )
-    running = Window.partitionBy("source").orderBy("bin")
-    reach = bins.select(F.col("source").alias("s"), "bin", F.sum("held").over(running).alias("reach"))
-    nearest = (
-        filled.join(reach, F.col("source").eqNullSafe(F.col("s")))
-        .select("source", "bin", F.abs(F.col("reach") - F.col("fraction") * F.col("source_size")).alias("miss"), (F.col("fraction") * F.col("source_size")).alias("none_miss"))
-        .groupBy("source")
-        .agg(F.min(F.struct("miss", "bin")).alias("best"), F.first("none_miss").alias("none_miss"))
-        .select("source", F.when(F.col("best.miss") < F.col("none_miss"), F.col("best.bin") + 1).otherwise(0).alias("bins_drawn"))
-    )
-    nearest = nearest.select(F.col("source").alias("s"), "bins_drawn")
-    return filled.join(nearest, F.col("source").eqNullSafe(F.col("s"))).drop("s", "fraction")
+    filled = cut(filled, "mix-targets")
+    name = filled.select(F.col("source").alias("s"), "fraction")
+    sums = [F.sum(F.col("size") * drawn(F.col("u"), F.lit(j), F.col("fraction"))).alias(f"sum{j}") for j in range(OFFSETS)]
+    sums = sized.join(name, F.col("source").eqNullSafe(F.col("s"))).groupBy("source", "fraction").agg(F.sum("size").alias("held"), *sums)
+    misses = [F.struct(F.abs(F.col(f"sum{j}") - F.col("fraction") * F.col("held")).alias("miss"), F.lit(j).alias("offset")) for j in range(OFFSETS)]
+    nearest = sums.select(F.col("source").alias("s"), F.array_min(F.array(*misses))["offset"].alias("offset"))
+    return filled.join(nearest, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -81,28 +85,35 @@ def mix_sources(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_co
     named like the working ones don't clash: only the three named columns are read.
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"))
-    sized = cut(slim.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(seed).alias("bin")), "mix-sizes")
+    sized = cut(slim.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(seed).alias("u")), "mix-sizes")
     plan = cut(source_plan(sized), "mix-sources")
     mixed = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    copies = (F.col("whole") + F.when(F.col("bin") < F.col("bins_drawn"), 1).otherwise(0)).alias("copies")
+    copies = (F.col("whole") + drawn(F.col("u"), F.col("offset"), F.col("fraction"))).alias("copies")
     return mixed.select("doc_id", "size", "source_size", "target", "source", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def emit_mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: each document of `docs` (doc_id, text, source among its columns) as often as it is taken."""
-    sized = cut(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), position(seed).alias("bin")).groupBy("source", "bin").agg(F.sum("size").alias("size")), "mix-bins")
-    plan = cut(source_plan(sized), "mix-sources").select(F.col("source").alias("__s"), "whole", "bins_drawn")
-    names = docs.columns
-    placed = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__s")))
-    copies = F.col("whole") + F.when(position(seed) < F.col("bins_drawn"), 1).otherwise(0)
-    return placed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[docs[c] for c in names])
+    """The mix itself: each document of `docs` (doc_id, text, source among its columns) as often as it is taken.
+
+    Null and wordless texts are taken as often as others of their source; a null source is a source
+    of its own. Rows alike in id, source and text share their draw. Whatever columns docs has, none
+    is mistaken for a working one. Empty docs give an empty mix.
+    """
+    sized = cut(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), position(seed).alias("u")), "mix-sizes")
+    own = "__mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    plan = cut(source_plan(sized), "mix-sources").select(F.struct("source", "whole", "offset", "fraction").alias(own))
+    placed = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col(f"{own}.source")))
+    copies = F.col(f"{own}.whole") + drawn(position(seed), F.col(f"{own}.offset"), F.col(f"{own}.fraction"))
+    return placed.withColumn(f"{own}_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 #: The same by DuckDB, with the level as the highest over all guesses of who is capped.
 MIXING_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(concat_ws('|', '17', doc_id::VARCHAR, source, text)), 1, 3))::INT AS bin
+         ('0x' || substr(md5(concat_ws('|', '17', doc_id::VARCHAR, source, text)), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS u
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
@@ -117,14 +128,12 @@ goal AS (
   SELECT source, source_size, least(source_size::DOUBLE * 3, level * w) AS target,
          coalesce(target / nullif(source_size, 0), 0) AS rate, floor(rate)::BIGINT AS whole, rate - whole AS fraction
   FROM src, guess),
-bins AS (SELECT source, bin, sum(size) AS held FROM sized GROUP BY source, bin),
-reach AS (SELECT source, bin, sum(held) OVER (PARTITION BY source ORDER BY bin)::DOUBLE AS reach FROM bins),
-best AS (
-  SELECT g.source, arg_min(r.bin, (abs(r.reach - g.fraction * g.source_size), r.bin)) AS bin,
-         min(abs(r.reach - g.fraction * g.source_size)) AS miss, any_value(g.fraction * g.source_size) AS none_miss
-  FROM goal g JOIN reach r ON g.source IS NOT DISTINCT FROM r.source GROUP BY g.source)
+tried AS (
+  SELECT g.source, j, abs(sum(CASE WHEN u + j::DOUBLE / 32 - floor(u + j::DOUBLE / 32) < g.fraction THEN size ELSE 0 END)::BIGINT - g.fraction * sum(size)::BIGINT) AS miss
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source, (SELECT unnest(range(32)) AS j) GROUP BY g.source, g.fraction, j),
+best AS (SELECT source, arg_min(j, (miss, j)) AS j FROM tried GROUP BY source)
 SELECT s.doc_id, s.size, g.source_size, g.target,
-       (s.size * (g.whole + CASE WHEN b.miss < b.none_miss AND s.bin <= b.bin THEN 1 ELSE 0 END))::BIGINT AS taken
+       (s.size * (g.whole + CASE WHEN u + b.j::DOUBLE / 32 - floor(u + b.j::DOUBLE / 32) < g.fraction THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
 JOIN best b ON s.source IS NOT DISTINCT FROM b.source
 """

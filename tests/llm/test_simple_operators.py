@@ -159,12 +159,27 @@ def test_mixing_as_sql_and_near_the_targets(spark, frame, none):
     for r in mixing.mix_sources(big).collect():
         by[r.source][0] += r.taken
         by[r.source][1] = r.target
-    assert all(abs(t - goal) <= 0.02 * goal + 40 for t, goal in by.values())
+    assert all(abs(t - goal) <= 0.005 * goal + 40 for t, goal in by.values())
     assert mixing.emit_mixed(big).count() == sum(r.copies for r in mixing.mix_sources(big).collect())
+    clashing = big.selectExpr("*", "1 whole", "2 bins_drawn", "3 fraction", "4 offset", "5 u", "6 size", "7 s", "8 __mix", "9 __MIX_copy")
+    mixed = mixing.emit_mixed(clashing)
+    assert mixed.columns == clashing.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in mixing.emit_mixed(big).collect())
     wordless = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mix_sources(wordless).collect()] == [(0.0, 0)] * 2
 
 
+def test_every_document_has_the_fraction_as_its_chance(spark):
+    docs = spark.range(300).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 40 as int)) text", "if(id < 100, 'a', 'b') source")
+    runs = [mixing.mix_sources(docs, seed=k).collect() for k in range(12)]
+    fraction = {r.source: r.target / r.source_size % 1 for r in runs[0]}
+    whole = {r.source: r.target // r.source_size for r in runs[0]}
+    for source in "ab":
+        more = np.array([[r.copies - whole[source] for r in sorted(run) if r.source == source] for run in runs])
+        assert ((more == 0) | (more == 1)).all() and abs(more.mean() - fraction[source]) < 0.05
+        small, large = more[:, np.arange(more.shape[1]) % 40 < 20].mean(), more[:, np.arange(more.shape[1]) % 40 >= 20].mean()
+        assert abs(small - large) < 0.12
+
+
 def test_top_k_as_brute_force(spark):
     r = np.random.default_rng(3)
     v = r.normal(size=(700, 6)).astype("float32")
