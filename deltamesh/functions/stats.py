@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-CAP = 300.0
+#: The highest surprise, the least chance told from none, and how near to 0 or 1 a rate may be.
+CAP, LEAST_TAIL, RATE_FLOOR = 300.0, 1e-300, 1e-9
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -51,25 +53,21 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - part, part)
 
 
-def surprise_values(k: np.ndarray, n: np.ndarray, total_k: float, total_n: float) -> np.ndarray:
-    """-log10 P(X >= k) for X binomial over n, at the rate of everyone else with half a count of smoothing; 0 where k or n is 0."""
-    k, n = np.asarray(k, float), np.asarray(n, float)
-    live = (k > 0) & (n > 0)
-    rest_k, rest_n = np.maximum(total_k - k, 0), np.maximum(total_n - n, 0)
-    p = np.clip((rest_k + 0.5) / (rest_n + 1.0), 1e-9, 1 - 1e-9)
-    kk, nn = np.where(live, k, 1.0), np.where(live, np.maximum(n, k), 1.0)
-    tail = incomplete_beta(kk, nn - kk + 1, p)
-    return np.where(live, np.minimum(CAP, -np.log10(np.maximum(tail, 1e-300))), 0.0) + 0.0
+@F.pandas_udf(DoubleType())
+def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+    """P(X >= k) for X binomial over n at rate p, 0 < k <= n. Its sum has no built-in; batches go through Arrow."""
+    return pd.Series(incomplete_beta(k.to_numpy(float), (n - k + 1).to_numpy(float), p.to_numpy(float)))
 
 
 def surprise(k: Column, n: Column, total_k: Column, total_n: Column) -> Column:
-    """The same as a column expression. Its CDF has no built-in; batches go through Arrow."""
+    """How many powers of ten lie between 1 and the chance of k or more of n at the rate of all others; 0 where k or n is 0.
 
-    @F.pandas_udf("double")
-    def run(k: pd.Series, n: pd.Series, tk: pd.Series, tn: pd.Series) -> pd.Series:
-        return pd.Series(surprise_values(k.to_numpy(), n.to_numpy(), tk.to_numpy(float), tn.to_numpy(float)))
-
-    return run(k, n, total_k, total_n)
+    The others' rate is smoothed by half a count in one trial.
+    """
+    others = (F.greatest(total_k - k, F.lit(0)) + F.lit(0.5)) / (F.greatest(total_n - n, F.lit(0)) + F.lit(1.0))
+    possible = (k > 0) & (n > 0)
+    tail = binomial_tail(F.when(possible, k).otherwise(1).cast("double"), F.when(possible, F.greatest(n, k)).otherwise(1).cast("double"), F.greatest(F.least(others, F.lit(1 - RATE_FLOOR)), F.lit(RATE_FLOOR)))
+    return F.when(possible, F.least(F.lit(CAP), F.greatest(-F.log10(F.greatest(tail, F.lit(LEAST_TAIL))), F.lit(0.0)))).otherwise(0.0)
 
 
 def t_test_p(r: float | None, n: int) -> float | None:

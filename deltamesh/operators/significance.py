@@ -96,10 +96,10 @@ def surprises(u: UnionDiff) -> DataFrame:
 def node_significance(u: UnionDiff, jaccard: DataFrame | None = None, rank=pagerank) -> DataFrame:
     """The full table per node; order by significance, impact (both falling) and label. rank: a function graph -> (label, pagerank)."""
     whole = PropertyGraph(u.nodes.select("label"), u.edges.select("source", "type", "target"), u.a.directed)
-    of = {k: rank(g).withColumnRenamed("pagerank", k) for k, g in (("pagerank", whole), ("pr_a", u.a), ("pr_b", u.b))}
+    of = {k: rank(g).withColumnRenamed("pagerank", k) for k, g in (("pagerank", whole), ("pagerank_a", u.a), ("pagerank_b", u.b))}
     top = of["pagerank"].agg(F.max("pagerank").alias("top"))
-    t = surprises(u).join(of["pagerank"], "label", "left").join(of["pr_a"], "label", "left").join(of["pr_b"], "label", "left").crossJoin(F.broadcast(top))  # one row
-    t = t.withColumns({"impact": F.col("magnitude") * F.coalesce(F.try_divide("pagerank", "top"), F.col("pagerank")), "centrality_shift": F.col("pr_b") - F.col("pr_a")}).drop("pr_a", "pr_b", "top")
+    t = surprises(u).join(of["pagerank"], "label", "left").join(of["pagerank_a"], "label", "left").join(of["pagerank_b"], "label", "left").crossJoin(F.broadcast(top))  # one row
+    t = t.withColumns({"impact": F.col("magnitude") * F.coalesce(F.try_divide("pagerank", "top"), F.col("pagerank")), "centrality_shift": F.col("pagerank_b") - F.col("pagerank_a")}).drop("pagerank_b", "top")
     if jaccard is None:
         return t.withColumn("jaccard", F.lit(None).cast("double"))
     return t.join(jaccard.select("label", "jaccard"), "label", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,9 +40,15 @@ def differs(a: Column, b: Column, kind_a: T.DataType, kind_b: T.DataType, rtol:
 
 
 def _diff(a: DataFrame, b: DataFrame, keys: list[str], attributes: list[str], comparison: AttributeComparison) -> DataFrame:
-    """Full outer join on the keys: a_ and b_ columns, status, changed_attrs. Presence is a flag set before the join."""
-    left = a.select(*keys, F.lit(True).alias("__a"), *[F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns if c not in keys])
-    right = b.select(*keys, F.lit(True).alias("__b"), *[F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns if c not in keys])
+    """Full outer join on the keys: a_ and b_ columns, status, changed_attrs. Presence is a flag set before the join.
+
+    A key that repeats on a side is an error of the job that reads the union: it would make pairs
+    of unlike rows. The count that finds it uses the join's own partitioning and order.
+    """
+    once = F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1
+    present = F.when(once, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit(f"repeated {' '.join(keys)}:"), *keys)).cast("boolean"))
+    left = a.select(*keys, present.alias("__a"), *[F.col(f"`{c}`").alias(f"a_{c}") for c in a.columns if c not in keys])
+    right = b.select(*keys, present.alias("__b"), *[F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns if c not in keys])
     joined = left.join(right, keys, "full_outer")
     both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
     flags = [(c, differs(F.col(f"a_{c}"), F.col(f"b_{c}"), a.schema[c].dataType, b.schema[c].dataType, comparison.rtol, comparison.atol)) for c in attributes]

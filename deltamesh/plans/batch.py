@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltamesh.model import PropertyGraph
-from deltamesh.operators import structure
 from deltamesh.operators.significance import surprises
 from deltamesh.operators.union import build_union
 from deltamesh.plans import series
@@ -31,17 +30,17 @@ def unique_names(names: Iterable[str]) -> list[str]:
 def matrix(graphs: dict[str, PropertyGraph], metrics: Iterable[str] | None = None, include_self: bool = False) -> DataFrame:
     """(graph_a, graph_b, metric, raw_score, shared_subgraph_score) for every unordered pair.
 
-    Set and edit-distance metrics come from one job over all graphs stacked; Weisfeiler-Lehman and
-    local-feature signatures are computed once per graph. Other metrics need the pair's comparison.
+    Set and edit-distance metrics come from one job over all graphs stacked; other metrics need the
+    pair's comparison. Repeated edges or labels raise before anything is compared.
     """
     wanted = list(metrics or SCALAR_METRICS)
     if unknown := [m for m in wanted if m not in SCALAR_METRICS]:
         raise KeyError(unknown[0])
+    for g in graphs.values():
+        g.validate()
     parts = []
     if cheap := [m for m in wanted if m in _STACKED]:
-        stacked = series.stacked(graphs)
-        nodes = reduce(DataFrame.unionByName, [g.nodes.select(F.lit(n).alias("graph_id"), "label") for n, g in graphs.items()])
-        parts.append(series.tidy(series.all_pairs(stacked, nodes, include_self)).where(F.col("metric").isin(cheap)))
+        parts.append(series.tidy(series.all_pairs(series.stacked(graphs), series.stacked_labels(graphs), include_self)).where(F.col("metric").isin(cheap)))
     rest = [m for m in wanted if m not in _STACKED]
     if rest:
         names = sorted(graphs)
@@ -117,12 +116,9 @@ class Timeline:
 def timeline(graphs: list[PropertyGraph], top_nodes: int = 50) -> Timeline:
     """Compare consecutive snapshots. Churn and presence of all steps are one job each; scores are one union per step."""
     names = unique_names(g.name for g in graphs)
-    parts = [g.edges.select(F.lit(i).alias("idx"), "source", "type", "target", (F.col("weight") if "weight" in g.edges.columns else F.lit(None)).cast("double").alias("weight")) for i, g in enumerate(graphs)]
-    stacked = reduce(DataFrame.unionByName, parts).persist()
+    for g in graphs:
+        g.validate()
+    by_place = dict(enumerate(graphs))
+    edges, nodes = series.stacked(by_place, "idx").persist(), series.stacked_labels(by_place, "idx").persist()
     scored = reduce(DataFrame.unionByName, [surprises(build_union(a, b)).select(F.lit(i).alias("step"), "label", "significance") for i, (a, b) in enumerate(zip(graphs, graphs[1:], strict=False))]).persist()
-    return Timeline(names, series.churn(stacked).persist(), series.node_history(scored, top_nodes), series.presence(stacked).persist(), scored)
-
-
-def structural_signatures(graphs: dict[str, PropertyGraph]) -> DataFrame:
-    """(graph_id, feature, moment, value): each graph's local-feature signature, computed once."""
-    return reduce(DataFrame.unionByName, [structure.signature(structure.local_features(g)).withColumn("graph_id", F.lit(n)) for n, g in graphs.items()])
+    return Timeline(names, series.churn(edges, nodes).persist(), series.node_history(scored, top_nodes), series.presence(edges, nodes).persist(), scored)

@@ -234,7 +234,6 @@ def background_rates(spark, sf_dir):
     return rounded(counts.background_rates(diff(fx.priority(spark, sf_dir))))
 
 
-_LGC = "(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({p}) + ({n} - j) * ln(1 - {p}))"
 
 
 def _tail(k: str, n: str, tk: str, tn: str) -> str:
@@ -479,6 +478,18 @@ def timeline_churn(spark, sf_dir):
     return rounded(series.churn(fx.activity(spark, sf_dir)))
 
 
+_ATTRIBUTE_STEPS = f"""WITH {fx.ATTRIBUTES_SQL}, top AS (SELECT max(idx) AS top FROM s2),
+ ej AS (SELECT coalesce(a.idx, b.idx - 1) AS step, CASE WHEN b.source IS NULL THEN 'gone' WHEN a.source IS NULL THEN 'new' WHEN a.weight <> b.weight OR a.top_k <> b.top_k THEN 'altered' ELSE 'same' END AS st FROM s2 a FULL JOIN s2 b ON b.idx = a.idx + 1 AND a.source = b.source AND a.type = b.type AND a.target = b.target),
+ nj AS (SELECT coalesce(a.idx, b.idx - 1) AS step, CASE WHEN b.label IS NULL THEN 'gone' WHEN a.label IS NULL THEN 'new' WHEN a.n_events <> b.n_events THEN 'altered' ELSE 'same' END AS st FROM n2 a FULL JOIN n2 b ON b.idx = a.idx + 1 AND a.label = b.label),
+ c AS (SELECT step, sum((st = 'gone' AND n)::INT) AS ng, sum((st = 'new' AND n)::INT) AS nn, sum((st = 'gone' AND NOT n)::INT) AS eg, sum((st = 'new' AND NOT n)::INT) AS en, sum((st = 'altered' AND NOT n)::INT) AS ea, sum((st <> 'same')::INT) AS cost, sum(CASE WHEN st IN ('gone', 'new') THEN 1 ELSE 2 END) AS worst FROM (SELECT step, st, true AS n FROM nj UNION ALL SELECT step, st, false FROM ej) GROUP BY step)
+ SELECT step, ng::BIGINT AS nodes_removed, nn::BIGINT AS nodes_added, eg::BIGINT AS edges_removed, en::BIGINT AS edges_added, ea::BIGINT AS edges_reweighted, round(1 - cost / worst, 6) AS similarity FROM c, top WHERE step >= 0 AND step < top"""
+
+
+@query(_ATTRIBUTE_STEPS)
+def timeline_churn_attributes(spark, sf_dir):
+    return rounded(series.churn(*fx.activity_attributes(spark, sf_dir)))
+
+
 _PRES = "nn AS (SELECT idx, source AS label FROM s UNION SELECT idx, target FROM s), pr AS (SELECT label, string_agg(CASE WHEN EXISTS (SELECT 1 FROM nn x WHERE x.label = l.label AND x.idx = i.idx) THEN '1' ELSE '0' END, '' ORDER BY i.idx) AS pattern FROM (SELECT DISTINCT label FROM nn) l, (SELECT DISTINCT idx FROM s) i GROUP BY label)"
 
 
@@ -541,6 +552,17 @@ def all_pairs_ged(spark, sf_dir):
     return rounded(t.groupBy("graph_a", "graph_b").pivot("metric", ["ged_cost", "ged_similarity"]).agg(F.first("value")))
 
 
+@query(f"""WITH {fx.ATTRIBUTES_SQL}, ep AS (SELECT x.idx AS i, y.idx AS j, count(*) AS m, count_if(x.weight <> y.weight OR x.top_k <> y.top_k) AS c FROM s2 x JOIN s2 y USING (source, type, target) WHERE x.idx < y.idx GROUP BY ALL),
+ np AS (SELECT x.idx AS i, y.idx AS j, count(*) AS m, count_if(x.n_events <> y.n_events) AS c FROM n2 x JOIN n2 y USING (label) WHERE x.idx < y.idx GROUP BY ALL),
+ z AS (SELECT idx, count(*) AS n FROM (SELECT idx FROM s2 UNION ALL SELECT idx FROM n2) GROUP BY idx),
+ t AS (SELECT a.idx AS i, b.idx AS j, a.n + b.n AS worst, a.n + b.n - 2 * coalesce(ep.m, 0) - 2 * coalesce(np.m, 0) + coalesce(ep.c, 0) + coalesce(np.c, 0) AS cost FROM z a JOIN z b ON a.idx < b.idx LEFT JOIN ep ON ep.i = a.idx AND ep.j = b.idx LEFT JOIN np ON np.i = a.idx AND np.j = b.idx)
+ SELECT 'g' || i AS graph_a, 'g' || j AS graph_b, cost::DOUBLE AS ged_cost, round(1 - cost / worst, 6) AS ged_similarity FROM t""")
+def all_pairs_attributes(spark, sf_dir):
+    edges, nodes = (x.withColumn("graph_id", F.concat(F.lit("g"), "idx")).drop("idx") for x in fx.activity_attributes(spark, sf_dir))
+    t = series.all_pairs(edges, nodes).where("scope = 'raw'")
+    return rounded(t.groupBy("graph_a", "graph_b").pivot("metric", ["ged_cost", "ged_similarity"]).agg(F.first("value")))
+
+
 @query(f"""{_S}{_PAIRS}, sn AS (SELECT x.graph_id AS graph_a, y.graph_id AS graph_b, label FROM nd x JOIN nd y USING (label) WHERE x.graph_id < y.graph_id),
  ia AS (SELECT sa.graph_a, sa.graph_b, g.source, g.type, g.target FROM g JOIN sn sa ON g.graph_id = sa.graph_a AND g.source = sa.label JOIN sn sb ON sb.graph_a = sa.graph_a AND sb.graph_b = sa.graph_b AND sb.label = g.target),
  ib AS (SELECT sa.graph_a, sa.graph_b, g.source, g.type, g.target FROM g JOIN sn sa ON g.graph_id = sa.graph_b AND g.source = sa.label JOIN sn sb ON sb.graph_a = sa.graph_a AND sb.graph_b = sa.graph_b AND sb.label = g.target)

@@ -72,6 +72,15 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("idx", "source", "type", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def activity_attributes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same snapshots with a second edge attribute, the highest key, and nodes (idx, label, n_events)."""
+    e = table(spark, sf_dir, "events")
+    day, k = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")), F.get_json_object("props", "$.k").cast("int")
+    rows = e.select(F.floor(day / 6).cast("int").alias("idx"), F.concat(F.lit("U#"), "user_id").alias("source"), F.col("event_type").alias("type"), F.concat(F.lit("U#"), "user_id", F.lit("-b"), F.floor(k / 20).cast("string")).alias("target"), k.alias("k"))
+    edges = rows.groupBy("idx", "source", "type", "target").agg(F.count(F.lit(1)).alias("weight"), F.max("k").alias("top_k"))
+    return edges, edges.select("idx", F.explode(F.array("source", "target")).alias("label"), "weight").groupBy("idx", "label").agg(F.sum("weight").alias("n_events"))
+
+
 def renamed_parts(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, PropertyGraph]:
     """Suppliers to parts they had returned; B has three of eight part labels rewritten lightly and one with a typo."""
     p = table(spark, sf_dir, "part")
@@ -113,6 +122,8 @@ UNION_SQL = """an AS (SELECT source AS label FROM ae UNION SELECT target FROM ae
     sn AS (SELECT label FROM un WHERE status = 'SHARED'),
     ue AS (SELECT *, source IN (SELECT label FROM sn) AND target IN (SELECT label FROM sn) AS in_shared FROM ue0)"""
 ACTIVITY_SQL = """s AS (SELECT ((ts::DATE - DATE '2024-01-01') // 6)::INT AS idx, 'U#' || user_id AS source, event_type AS type, 'U#' || user_id || '-b' || ((props->>'k')::INT // 20) AS target, count(*)::BIGINT AS weight FROM events GROUP BY ALL)"""
+ATTRIBUTES_SQL = """s2 AS (SELECT ((ts::DATE - DATE '2024-01-01') // 6)::INT AS idx, 'U#' || user_id AS source, event_type AS type, 'U#' || user_id || '-b' || ((props->>'k')::INT // 20) AS target, count(*)::BIGINT AS weight, max((props->>'k')::INT) AS top_k FROM events GROUP BY ALL),
+    n2 AS (SELECT idx, label, sum(weight) AS n_events FROM (SELECT idx, source AS label, weight FROM s2 UNION ALL SELECT idx, target, weight FROM s2) GROUP BY ALL)"""
 
 
 def with_union(name: str) -> str:

@@ -56,7 +56,7 @@ def renamed_copy(g: PropertyGraph, share: float = 0.1, seed: int = 2) -> tuple[P
     h = F.pmod(F.xxhash64("label", F.lit(seed)), F.lit(10_000))
     kind = F.pmod(F.xxhash64("label", F.lit(seed + 1)), F.lit(4))
     label = F.col("label")
-    new = F.when(kind == 0, F.upper(label)).when(kind == 1, F.concat(label, F.lit(" Inc."))).when(kind == 2, F.regexp_replace(label, "[- ]", "_")).otherwise(F.concat(F.substring(label, 1, 2), F.lit("x"), F.substring(label, 4, 10_000)))
+    new = F.when(kind == 0, F.upper(label)).when(kind == 1, F.concat(label, F.lit(" Inc."))).when(kind == 2, F.regexp_replace(label, "[- ]", "_")).otherwise(F.regexp_replace(label, "(.)$", "x$1"))
     truth = g.nodes.select(label.alias("label_a"), F.when(h < share * 10_000, new).otherwise(label).alias("label_b"))
     own = truth.select(F.col("label_a").alias("__old"), F.col("label_b").alias("__new"))
 

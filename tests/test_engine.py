@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltamesh.cli import main
-from deltamesh.functions.stats import incomplete_beta, lgamma, surprise_values, t_test_p
+from deltamesh.functions.stats import incomplete_beta, lgamma, surprise, t_test_p
 from deltamesh.functions.text import normal_form, normalized
 from deltamesh.model import DuplicateEdgeError, GraphError, graph
 from deltamesh.operators import blocks, counts, significance, structure, views
@@ -15,7 +15,7 @@ from deltamesh.operators.align import AlignOptions, align
 from deltamesh.operators.cluster import clusters_of, communities, concentration
 from deltamesh.operators.union import build_union
 from deltamesh.plans import batch, generators
-from deltamesh.plans.report import Rule, compare, load_baseline, run_checks
+from deltamesh.plans.report import Rule, compare, load_baseline, quantity, run_checks
 from deltamesh.sources import write_graph
 
 SCHEMA = "source string, type string, target string, weight double"
@@ -95,22 +95,58 @@ def test_duplicates(spark):
         graph(back, directed=False).validate()
 
 
-def test_special_functions():
+def test_a_union_refuses_what_repeats(spark, pair):
+    twice = graph(spark.createDataFrame([*A, ("a", "knows", "b", 1.0)], SCHEMA))
+    labels = graph(pair[0].edges, spark.createDataFrame([("a",), ("b",), ("a",)], "label string"))
+    for x in (twice, labels):
+        for u in (build_union(x, pair[1]), build_union(pair[1], x)):
+            with pytest.raises(Exception, match="repeated"):
+                u.edges.select("status").collect()
+                u.nodes.select("status").collect()
+    with pytest.raises(DuplicateEdgeError):
+        batch.matrix({"a": pair[0], "b": twice}, ["jaccard_nodes"])
+
+
+def test_series_see_every_attribute(spark):
+    schema = "source string, type string, target string, weight double, note string"
+    nodes = [spark.createDataFrame(r, "label string, kind string") for r in ([("a", "x"), ("b", "y"), ("alone", "z")], [("a", "x"), ("b", "other"), ("alone", "z")])]
+    pair = [graph(spark.createDataFrame([("a", "t", "b", w, note)], schema), n, name=name) for w, note, n, name in ((1.0, "old", nodes[0], "p"), (1.0 + 1e-13, "new", nodes[1], "q"))]
+    r = compare(*pair, structural=False, findings=False)
+    rows = {x["metric"]: x for x in batch.matrix({"p": pair[0], "q": pair[1]}, ["ged_cost", "ged_similarity", "jaccard_nodes"]).collect()}
+    assert rows["ged_cost"]["raw_score"] == r.score("ged_cost") == 2.0
+    assert all(math.isclose(x["raw_score"], r.score(m)) and math.isclose(x["shared_subgraph_score"], r.score(m, True)) for m, x in rows.items())
+    t = batch.timeline(pair)
+    step = t.churn.first()
+    assert step["edges_reweighted"] == 1 and step["nodes_added"] == step["nodes_removed"] == 0 and math.isclose(step["similarity"], r.score("ged_similarity"))
+    assert {x["label"]: x["pattern"] for x in t.presence.collect()} == {"a": "11", "b": "11", "alone": "11"}
+
+
+def test_special_functions(spark):
     assert all(math.isclose(lgamma(x), math.lgamma(x), rel_tol=1e-12, abs_tol=1e-12) for x in (0.5, 1.0, 3.7, 20.0, 1e5))
     tail = lambda k, n, p: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
     for k, n, p in ((1, 10, 0.3), (5, 10, 0.3), (10, 10, 0.3), (60, 400, 0.1), (1, 500, 0.9)):
         assert math.isclose(float(incomplete_beta(k, n - k + 1, p)), tail(k, n, p), rel_tol=1e-9)
-    assert surprise_values([0, 3], [5, 0], 10, 20).tolist() == [0.0, 0.0]
+    rows = [(0, 5, 10, 20), (3, 0, 10, 20), (4, 6, 9, 31), (7, 3, 9, 30), (900, 900, 901, 5000)]
+    got = [r[0] for r in spark.createDataFrame(rows, "k long, n long, tk long, tn long").coalesce(1).select(surprise(*map(F.col, ("k", "n", "tk", "tn")))).collect()]
+    assert got[:2] == [0.0, 0.0] and got[4] == 300.0
+    # of the other 25 trials 5 are hits, of the other 27 two
+    assert math.isclose(got[2], -math.log10(tail(4, 6, 5.5 / 26)), rel_tol=1e-9) and math.isclose(got[3], -7 * math.log10(2.5 / 28), rel_tol=1e-9)
     assert math.isclose(t_test_p(0.5, 20), 0.024769, rel_tol=1e-3)
 
 
-def test_hub_is_more_surprising_than_leaf(spark):
-    a = [("hub", "t", f"x{i}", 1.0) for i in range(30)] + [("leaf", "t", "y0", 1.0), ("leaf", "t", "y1", 1.0)] + [(f"p{i}", "t", f"q{i}", 1.0) for i in range(100)]
-    b = [e for e in a if e[:3] not in {("hub", "t", f"x{i}") for i in range(10)} | {("leaf", "t", "y0")}]
-    u = build_union(*(graph(spark.createDataFrame(r, SCHEMA)) for r in (a, b)))
-    top = significance.ranked(significance.node_significance(u)).first()
-    assert top["label"] == "hub" and top["surprise"] > 5
-    assert top["degree_a"] - top["n_removed"] == top["degree_b"] - top["n_added"]
+def test_concentrated_change_outranks_scattered_change(spark):
+    centre = [("m", "t", f"s{i}", 1.0) for i in range(14)]
+    ring = [(f"r{i}", "t", f"r{(i + 1) % 45}", 1.0) for i in range(45)]
+    # nine of the centre's fourteen edges go, and three of the ring's 45
+    after = centre[9:] + [e for i, e in enumerate(ring) if i % 15]
+    u = build_union(*(graph(spark.createDataFrame(r, SCHEMA)) for r in (centre + ring, after)))
+    rows = by(significance.node_significance(u), "label")
+    assert significance.ranked(significance.node_significance(u)).first()["label"] == "m"
+    m, r = rows["m"], rows["r0"]
+    assert (m["degree_a"], m["n_removed"], m["degree_b"], r["degree_a"], r["n_removed"]) == (14, 9, 5, 2, 1)
+    tail = lambda k, n, p: sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
+    # twelve of 59 edges are gone, three of the 45 others
+    assert math.isclose(m["surprise_removed"], -math.log10(tail(9, 14, 3.5 / 46)), rel_tol=1e-9)
 
 
 def test_pagerank_forms_agree(spark):
@@ -120,16 +156,24 @@ def test_pagerank_forms_agree(spark):
     assert math.isclose(sum(x.values()), 1.0) and all(abs(x[k] - y[k]) < 1e-2 for k in x)
 
 
-def test_shapes_tell_star_from_path(spark):
-    star = graph(spark.createDataFrame([("h", "t", f"s{i}", 1.0) for i in range(60)], SCHEMA))
-    path = graph(spark.createDataFrame([(f"p{i}", "t", f"p{i + 1}", 1.0) for i in range(60)], SCHEMA))
-    assert structure.degree_similarity(star, path).first()[0] < 0.5
-    assert structure.wl_similarity(star, path).first()[0] < 0.1
-    assert structure.netsimile(star, path).first()[0] < 0.6
-    assert structure.spectral_similarity(star, path) < 0.95
+def test_shapes_tell_a_wheel_from_a_ladder(spark):
+    n = 24
+    wheel = [("hub", "t", f"w{i}", 1.0) for i in range(n)] + [(f"w{i}", "t", f"w{(i + 1) % n}", 1.0) for i in range(n)]
+    ladder = [(f"{s}{i}", "t", f"{s}{(i + 1) % n}", 1.0) for s in "xy" for i in range(n)] + [(f"x{i}", "t", f"y{i}", 1.0) for i in range(n)]
+    wheel, ladder = (graph(spark.createDataFrame(e, SCHEMA)) for e in (wheel, ladder))
+    # all but the hub have three neighbours in either, in other directions; around them, only a wheel's have a hub and triangles
+    assert 0.5 < structure.degree_similarity(wheel, ladder).first()[0] < 0.9
+    assert math.isclose(structure.wl_similarity(wheel, ladder).first()[0], (n / math.sqrt(n * n + 1)) / 3, rel_tol=1e-9)
+    assert structure.netsimile(wheel, ladder).first()[0] < 0.75
+    assert structure.spectral_similarity(wheel, ladder) < 0.999
     for f in (structure.degree_similarity, structure.wl_similarity, structure.netsimile):
-        assert math.isclose(f(star, star).first()[0], 1.0)
-    assert math.isclose(structure.spectral_similarity(path, path), 1.0)
+        assert math.isclose(f(ladder, ladder).first()[0], 1.0)
+    assert math.isclose(structure.spectral_similarity(wheel, wheel), 1.0)
+
+
+def test_degree_bins_grow_by_half():
+    assert structure.degree_bins(0) == [0, 1, 2, 3, 4, 5] and structure.degree_bins(5) == [0, 1, 2, 3, 4, 5, 8]
+    assert structure.degree_bins(26) == [0, 1, 2, 3, 4, 5, 8, 12, 18, 27]
 
 
 def test_spectra_do_not_depend_on_where_the_edges_are(spark, monkeypatch):
@@ -201,8 +245,13 @@ def test_report_rules_and_files(spark, pair, tmp_path):
     r.union_to_parquet(str(tmp_path / "u"))
     assert spark.read.parquet(str(tmp_path / "u/union_edges.parquet")).count() == 4
     assert "jaccard_nodes" in r.to_markdown() and r.page_data()["nodes"]
-    with pytest.raises(ValueError):
-        Rule.parse("x >> 3")
+    for text in ("x >> 3", "x", ">= 3", "x >= ", "x >= 1_0", "x < inf", "a b > 1", "x = 1", "x => 1"):
+        with pytest.raises(ValueError):
+            Rule.parse(text)
+    assert Rule.parse(" similarity>=-1e-2 ") == Rule("ged_similarity", ">=", -0.01) and Rule.parse("nodes.A_ONLY != 0").op == "!="
+    for name in ("nope", "nodes.nope", "ged_similarity.nope", "significance.nope"):
+        with pytest.raises(KeyError):
+            quantity(r, name)
 
 
 def test_matrix_and_timeline(spark, pair):

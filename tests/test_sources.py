@@ -40,8 +40,14 @@ def test_headers_and_no_header(spark, tmp_path):
     p.write_text("From;To;Relation;weight\na;b;r;x\nb;c;s;2\n")
     g = read_graph(spark, str(p))
     assert rows(g.edges.select("source", "type", "target", "weight")) == sorted([(("source", "a"), ("target", "b"), ("type", "r"), ("weight", None)), (("source", "b"), ("target", "c"), ("type", "s"), ("weight", 2.0))], key=str)
-    p.write_text("a,r,b,1\nb,r,c,2\n")
-    assert read_graph(spark, str(p)).edges.count() == 2
+    for text, want in (
+        ("p,q,likes,4\nq,r,hates,0.5\n", [("p", "likes", "q", 4.0), ("q", "hates", "r", 0.5)]),
+        ("p,q,likes\nq,r,hates\n", [("p", "likes", "q"), ("q", "hates", "r")]),
+        ("p q\nq r\n", [("p", "", "q"), ("q", "", "r")]),
+        ("p|q|likes|4|x y\nq|r|hates|0.5|z w\n", [("p", "likes", "q", 4.0, "x y"), ("q", "hates", "r", 0.5, "z w")]),
+    ):
+        p.write_text(text)
+        assert sorted(map(tuple, read_graph(spark, str(p)).edges.collect())) == want
 
 
 def test_graphml_defaults_and_missing_nodes(spark, tmp_path):
@@ -67,9 +73,10 @@ def test_detection(tmp_path):
         p = tmp_path / "x.dat"
         p.write_text(text)
         assert detect_format(str(p)) == kind
-    p.write_text("nothing")
-    with pytest.raises(GraphFormatError):
-        detect_format(str(p))
+    for text in ("nothing", "a line of prose without any table\nand one more", ""):
+        p.write_text(text)
+        with pytest.raises(GraphFormatError):
+            detect_format(str(p))
 
 
 def test_discovery_and_provenance(tmp_path):
