@@ -1,21 +1,24 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per document. The ledger row holds the measurements and a 64-bit mask
-of the rules that failed. A policy is a versioned mask of rules that reject, so a policy's verdict
-and the effect of leaving one rule out are bitwise expressions over the ledger: no text is read
-again.
+Every rule is evaluated once per document, right after its measurements. The ledger row holds the
+measurements and a 64-bit mask of the rules that failed, and is written to the shared folder. A
+policy is a versioned mask of rules that reject, so a policy's verdict and the effect of leaving
+one rule out are bitwise expressions over the ledger: no text is read again. The pipeline's stage
+carries the same mask beside its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from deltamesh.llm.common import cut
 from deltamesh.llm.textarrays import IS_SPACE, Slice, slices_of, windows, words_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -23,24 +26,27 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 
 
+Measures = dict[str, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A named failure condition over the measurements; its bit is its place in RULES."""
+    """A named failure condition over arrays of measurements; its bit is its place in RULES."""
 
     name: str
-    failed: str
+    failed: Callable[[Measures], np.ndarray]
 
 
 #: Order is part of the ledger's format: rules are only ever added at the end.
 RULES = (
-    Rule("too_few_words", "n_words < 50"),
-    Rule("mostly_repeats", "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "100 * n_dup_lines > 40 * n_lines"),
-    Rule("words_too_long", "word_chars > 12 * n_words"),
-    Rule("words_too_short", "word_chars < 2 * n_words"),
-    Rule("shouting", "100 * n_upper > 60 * word_chars"),
-    Rule("some_repeats", "100 * n_repeat_words > 30 * n_words"),
+    Rule("too_few_words", lambda m: m["n_words"] < 50),
+    Rule("mostly_repeats", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
+    Rule("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 40 * m["n_lines"]),
+    Rule("words_too_long", lambda m: m["word_chars"] > 12 * m["n_words"]),
+    Rule("words_too_short", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    Rule("shouting", lambda m: 100 * m["n_upper"] > 60 * m["word_chars"]),
+    Rule("some_repeats", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
 )
 BIT = {r.name: i for i, r in enumerate(RULES)}
 
@@ -65,7 +71,7 @@ def _per_document(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def measure(s: Slice) -> dict[str, np.ndarray]:
+def measure(s: Slice) -> Measures:
     """All measurements of a slice's documents."""
     raw = s.body
     w = words_of(s)
@@ -102,8 +108,16 @@ def measure(s: Slice) -> dict[str, np.ndarray]:
     return out | {"n_lines": n_lines, "n_dup_lines": n_dup}
 
 
+def mask(m: Measures) -> np.ndarray:
+    """The failed rules of each document as bits."""
+    out = np.zeros(len(m["n_words"]), np.int64)
+    for i, r in enumerate(RULES):
+        out |= r.failed(m).astype(np.int64) << i
+    return out
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, the measurements, failed bigint), one for each input row.
+    """Rows (doc_id, the measurements, failed bigint), one for each input row, written once.
 
     Null texts measure 0 everywhere, as empty ones do, and fail by their word count. Ids may be
     null or repeat. The text leaves the scan once; nothing is shuffled.
@@ -113,33 +127,28 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in batches:
             for s in slices_of(batch.column(1)):
                 m = measure(s)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), *(pa.array(m[k], pa.int64()) for k in MEASURES)], ["doc_id", *MEASURES])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, s.n), *(pa.array(m[k], pa.int64()) for k in MEASURES), pa.array(mask(m))], ["doc_id", *MEASURES, "failed"])
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    measured = source.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES))
-    bits = [F.when(F.expr(r.failed), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measured.withColumn("failed", failed.cast("long"))
+    return cut(source.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES) + ", failed long"), "quality-ledger")
 
 
-def passes(policy: str) -> Column:
+def passes(policy: str, failed: str = "failed") -> Column:
     """Whether a ledger row survives a policy."""
-    return F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0
+    return F.col(failed).bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
     """Per rule of a policy: documents that fail it, that only it rejects, and that pass once it is left out."""
     total = F.count(F.lit(1))
-    mask = POLICIES[policy]
-    found = F.col("failed").bitwiseAND(F.lit(mask))
+    rejecting = POLICIES[policy]
+    found = F.col("failed").bitwiseAND(F.lit(rejecting))
     parts = []
     for i, r in enumerate(RULES):
-        if mask >> i & 1:
+        if rejecting >> i & 1:
             fails = F.count_if(F.col("failed").bitwiseAND(F.lit(1 << i)) != 0)
             alone = F.count_if(found == (1 << i))
-            without = F.count_if(F.col("failed").bitwiseAND(F.lit(mask & ~(1 << i))) == 0)
+            without = F.count_if(F.col("failed").bitwiseAND(F.lit(rejecting & ~(1 << i))) == 0)
             parts.append(F.struct(F.lit(r.name).alias("rule"), fails.alias("n_failed"), alone.alias("n_only"), without.alias("n_kept_without"), total.alias("n_documents")))
     return rows.agg(F.array(*parts).alias("rules")).select(F.inline("rules"))
 
@@ -151,28 +160,24 @@ def judge_quality(docs: DataFrame, policy: str = "standard-1") -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, policy: str = "standard-1", text_col: str = "text") -> DataFrame:
-    """The rows of docs that a policy passes, with all their columns; rows pass through one map, nothing is joined."""
-    failed = _failures(POLICIES[policy])
+    """The rows of docs that a policy passes, with all their columns.
+
+    Each row gets its mask in one map, and the policy is applied to the mask; nothing is joined. A
+    null or empty text fails by its word count; equal rows are decided alike; no column's name is
+    taken. Empty docs give an empty result.
+    """
+    own = "__failed"
+    while any(c.lower() == own for c in docs.columns):
+        own += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices_of(batch.column(text_col)):
-                yield batch.slice(s.first, s.n).filter(pa.array(~failed(measure(s))))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _failures(mask: int):
-    """A function from measurements to whether a rule of the mask failed; the rules' own conditions, over arrays."""
-    texts = [r.failed for i, r in enumerate(RULES) if mask >> i & 1]
-
-    def failed(m: dict[str, np.ndarray]) -> np.ndarray:
-        out = np.zeros(len(m["n_words"]), bool)
-        for t in texts:
-            out |= eval(t, {"__builtins__": {}}, m)  # the conditions are constants of this module
-        return out
+                rows = batch.slice(s.first, s.n)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(mask(measure(s)))], [*rows.schema.names, own])
 
-    return failed
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    return marked.where(passes(policy, own)).drop(own)
 
 
 #: The same by DuckDB.
