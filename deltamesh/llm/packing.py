@@ -13,9 +13,9 @@ turns the rank into bin and offset. Only piece rows of a few numbers are shuffle
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from deltamesh.llm.textarrays import slices_of
 from deltamesh.llm.tokens import default_path, merger
 
 CAPACITY = 2048
-SEPARATOR = 0
+#: Changes that the local search makes at most.
+CHANGES = 4000
 Pattern = tuple[int, ...]
 
 
@@ -67,53 +68,94 @@ def best_fit(lengths: dict[int, int], capacity: int) -> Counter[Pattern]:
     return out
 
 
-def improve(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+class Takers:
+    """The underfull patterns as flat arrays: one entry for each length a pattern could give back, and one for none."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.fill, self.out, self.owner = np.zeros((3, 1024), np.int64)
+        self.used, self.at, self.patterns = 0, {}, []
+
+    def add(self, pattern: Pattern) -> None:
+        if pattern in self.at or sum(pattern) >= self.capacity:
+            return
+        outs = [0, *sorted(set(pattern))]
+        end = self.used + len(outs)
+        if end > len(self.fill):
+            self.fill, self.out, self.owner = (np.concatenate([x, np.zeros(max(len(x), len(outs)), np.int64)]) for x in (self.fill, self.out, self.owner))
+        self.fill[self.used : end], self.out[self.used : end], self.owner[self.used : end] = sum(pattern), outs, len(self.patterns)
+        self.at[pattern] = (self.used, end)
+        self.patterns.append(pattern)
+        self.used = end
+
+    def drop(self, pattern: Pattern) -> None:
+        a, b = self.at.pop(pattern, (0, 0))
+        self.fill[a:b], self.out[a:b] = self.capacity, 0  # full: nothing can be offered to it
+        if self.used > 4 * sum(y - x for x, y in self.at.values()) + 4096:
+            kept = list(self.at)
+            self.used, self.at, self.patterns = 0, {}, []
+            for p in kept:
+                self.add(p)
+
+    def best(self, donor: Pattern, alone: bool) -> tuple[Pattern, Pattern, Pattern] | None:
+        """The change from this donor with the largest rise of squared fill: taker, lengths given, lengths given back."""
+        fill, out = self.fill[: self.used], self.out[: self.used]
+        own = Counter(donor)
+        ones = sorted(own)
+        twos = {x + y: (x, y) for x in ones for y in ones if y < x or (y == x and own[x] > 1)}
+        offers = [(np.array([0, *ones]), np.ones(len(fill), bool))]
+        if twos:
+            offers.append((np.array([0, *sorted(twos)]), out > 0))
+        room = self.capacity - fill + out
+        given = np.max([np.where(on, sizes[np.searchsorted(sizes, room, "right") - 1], 0) for sizes, on in offers], axis=0)
+        gain = given - out
+        # (base + g)^2 + (fill - g)^2 - base^2 - fill^2
+        rise = np.where(gain > 0, 2 * gain * (fill - sum(donor) + gain), 0)
+        if alone:
+            rise[slice(*self.at.get(donor, (0, 0)))] = 0
+        k = int(rise.argmax()) if len(rise) else 0
+        if not len(rise) or rise[k] <= 0:
+            return None
+        g, back = int(given[k]), int(out[k])
+        return self.patterns[self.owner[k]], ((g,) if g in own else twos[g]), ((back,) if back else ())
+
+
+def improve(bins: Counter[Pattern], capacity: int, changes: int = CHANGES) -> Counter[Pattern]:
     """Local search: moves and one-for-one or two-for-one swaps between underfull bins.
 
-    Each step takes the emptiest pattern from which any change gains and makes, over the other
-    underfull patterns, the change with the largest gain in squared fill. A donor that runs empty
-    is a bin saved. It stops when no donor's change gains or when the bins are as few as the total
-    asks; squared fill rises with every change, so that comes.
+    The emptiest pattern from which a change gains makes the change with the largest rise in
+    squared fill over all other underfull patterns, for as many pairs of bins as there are. A donor
+    that runs empty is a bin saved. Donors that can't gain wait until all others are done and are
+    tried again. It stops when no donor's change gains, when the bins are as few as the total asks,
+    or after `changes` changes, which bounds the driver's time on lengths whose lower bound no
+    packing reaches; pieces stay whole either way.
     """
     total = sum(sum(p) * n for p, n in bins.items())
-    least = -(-total // capacity)
+    least, held, made = -(-total // capacity), sum(bins.values()), 0
     bins = Counter(bins)
-    while True:
-        open_bins = sorted((p for p, n in bins.items() if n and sum(p) < capacity), key=lambda p: (sum(p), p))
-        if sum(bins.values()) <= least or len(open_bins) + (bins[open_bins[0]] > 1 if open_bins else 0) < 2:
-            break
-        change = None
-        for donor in open_bins:
-            fill = sum(donor)
-            own = Counter(donor)
-            ones = sorted(own)
-            twos = {x + y: (x, y) for x in ones for y in ones if y < x or (y == x and own[x] > 1)}
-            sums = sorted(twos)
-            best = (0, None, None, None)
-            for taker in open_bins:
-                if taker == donor and bins[donor] < 2:
-                    continue
-                base = sum(taker)
-                room = capacity - base
-                offers = []
-                for out in (0, *set(taker)):
-                    at = bisect_right(ones, room + out)
-                    if at and ones[at - 1] > out:
-                        offers.append((ones[at - 1] - out, (ones[at - 1],), (out,) if out else ()))
-                    at = bisect_right(sums, room + out) if out else 0
-                    if at and sums[at - 1] > out:
-                        offers.append((sums[at - 1] - out, twos[sums[at - 1]], (out,)))
-                for gain, given, back in offers:
-                    # (base + g)^2 + (fill - g)^2 - base^2 - fill^2
-                    rise = 2 * gain * (base - fill + gain)
-                    if rise > best[0]:
-                        best = (rise, taker, given, back)
-            if best[1] is not None:
-                change = (donor, *best[1:])
+    takers = Takers(capacity)
+    for p in bins:
+        takers.add(p)
+    waiting = [(sum(p), p) for p in takers.at]
+    heapify(waiting)
+    stuck: list[tuple[int, Pattern]] = []
+    moved = False
+    while held > least and made < changes:
+        if not waiting:
+            if not moved:
                 break
+            waiting, stuck, moved = stuck, [], False
+            heapify(waiting)
+            continue
+        fill, donor = heappop(waiting)
+        if not bins[donor]:
+            continue
+        change = takers.best(donor, bins[donor] < 2)
         if change is None:
-            break
-        donor, taker, given, back = change
+            stuck.append((fill, donor))
+            continue
+        made, moved = made + 1, True
+        taker, given, back = change
         n = bins[donor] // 2 if donor == taker else min(bins[donor], bins[taker])
         after_donor, after_taker = list(donor), list(taker)
         for x in given:
@@ -124,12 +166,21 @@ def improve(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
             after_donor.append(x)
         for p in (donor, taker):
             bins[p] -= n
+        held -= 0 if after_donor else n
+        for after in (after_donor, after_taker):
+            if after:
+                p = tuple(sorted(after, reverse=True))
+                if not bins[p] and sum(p) < capacity:
+                    heappush(waiting, (sum(p), p))
+                bins[p] += n
+                takers.add(p)
+        for p in {donor, taker}:
             if not bins[p]:
+                takers.drop(p)
                 del bins[p]
-        if after_donor:
-            bins[tuple(sorted(after_donor, reverse=True))] += n
-        bins[tuple(sorted(after_taker, reverse=True))] += n
-    return bins
+            elif p == donor:
+                heappush(waiting, (fill, donor))
+    return +bins
 
 
 def places(bins: Counter[Pattern]) -> dict[int, np.ndarray]:
