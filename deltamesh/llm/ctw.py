@@ -36,9 +36,11 @@ from deltamesh.llm.textarrays import Lookup, Slice, mixed, slices_of, words_of
 DEPTH = 5
 HEAD, HEAD_GRAMS = 1 << 20, 1 << 21
 #: Distinct keys a training task holds before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Bytes of text handled at once: a gram and what looks it up take some hundred bytes for each.
+SLICE = 1_500_000
 #: Grams folded at once, and expected in one task.
-FOLDED, TASK_GRAMS = 200_000, 2_000_000
+FOLDED, TASK_GRAMS = 100_000, 2_000_000
 _WORD, _BYTES, _DOCS = 0, 1, 2
 #: Depths above a group's trees: 0 to _TOP.
 _TOP = 2
@@ -169,7 +171,7 @@ def corpus_counts(texts: DataFrame, depth: int) -> DataFrame:
 
         for batch in batches:
             for learn in (True, False):
-                for s in slices_of(batch.column(0).filter(pc.equal(batch.column(1), learn))):
+                for s in slices_of(batch.column(0).filter(pc.equal(batch.column(1), learn)), SLICE):
                     found = [(_BYTES, grams(s, depth))]
                     if learn:
                         docs += s.n
@@ -288,7 +290,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         look, log, look_gram = Lookup(keys), np.log10(n + 0.1), Lookup(gram)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for s in slices_of(batch.column(1)):
+            for s in slices_of(batch.column(1), SLICE):
                 w = words_of(s, lower=True)
                 tokens, size = np.diff(w.first), np.diff(s.bounds)
                 doc = np.repeat(np.arange(s.n), tokens)
