@@ -38,7 +38,7 @@ HEAD, HEAD_GRAMS = 1 << 20, 1 << 21
 #: Distinct keys a training task holds before it passes them on.
 HELD = 1_000_000
 #: Bytes of text handled at once: a gram and what looks it up take some hundred bytes for each.
-SLICE = 1_500_000
+SLICE = 400_000
 #: Grams folded at once, and expected in one task.
 FOLDED, TASK_GRAMS = 100_000, 2_000_000
 _WORD, _BYTES, _DOCS = 0, 1, 2
@@ -311,6 +311,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 row += s.n
 
     scored = cut(source.mapInArrow(run, "row long, doc_id long, n_bytes long, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, rare_grams array<long>, gram_times array<int>"), "scored")
+    sent.unpersist()
     t = F.col("t")
 
     def tail(keys: str, often: str, table: DataFrame) -> DataFrame:
