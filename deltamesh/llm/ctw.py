@@ -34,7 +34,7 @@ from deltamesh.llm.textarrays import Lookup, Slice, mixed, slices_of, words_of
 
 #: Bytes of context.
 DEPTH = 5
-HEAD, HEAD_GRAMS = 1 << 20, 1 << 21
+HEAD, HEAD_GRAMS = 1 << 18, 1 << 19
 #: Distinct keys a training task holds before it passes them on.
 HELD = 1_000_000
 #: Bytes of text handled at once: a gram and what looks it up take some hundred bytes for each.

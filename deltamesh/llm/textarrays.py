@@ -129,7 +129,8 @@ class Lookup:
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.bits = max(1, min(24, int(len(keys)).bit_length()))
-        self.begin = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << _U(64 - self.bits))
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << _U(64 - self.bits)
+        self.begin = np.searchsorted(keys, edges).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         found = np.full(len(h), -1, np.int64)
