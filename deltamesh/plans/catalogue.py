@@ -54,6 +54,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P, _F4, _F1, _F3 = (fx.with_union(n) for n in ("priority", "co_events", "trade", "purchase"))
+_W4, _W3 = (fx.with_whole(n) for n in ("co_events", "purchase"))
 _COEF = """n_a + n_b - n_both AS n_union, round(CASE WHEN n_a + n_b - n_both = 0 THEN 1 ELSE n_both / (n_a + n_b - n_both) END, 6) AS jaccard,
  round(CASE WHEN n_a + n_b - n_both = 0 THEN 1 WHEN least(n_a, n_b) = 0 THEN 0 ELSE n_both / least(n_a, n_b) END, 6) AS overlap,
  round(CASE WHEN n_a + n_b = 0 THEN 1 ELSE 2 * n_both / (n_a + n_b) END, 6) AS dice"""
@@ -175,24 +176,24 @@ def neighborhood_summary(spark, sf_dir):
 _DEGREES = "dg AS (SELECT label, count(e.l) AS degree FROM an LEFT JOIN (SELECT source AS l FROM ae UNION ALL SELECT target FROM ae) e ON label = e.l GROUP BY label)"
 
 
-@query(f"{_F3}, {_DEGREES} SELECT label, degree FROM dg")
+@query(f"{_W3}, {_DEGREES} SELECT label, degree FROM dg")
 def degrees(spark, sf_dir):
-    return fx.purchase(spark, sf_dir)[0].degrees()
+    return fx.purchase_whole(spark, sf_dir).degrees()
 
 
-@query(f'{_F3}, {_DEGREES} SELECT min(degree) AS "min", max(degree) AS "max", round(avg(degree), 6) AS mean, round(median(degree), 6) AS median, round(stddev_pop(degree), 6) AS std FROM dg')
+@query(f'{_W3}, {_DEGREES} SELECT min(degree) AS "min", max(degree) AS "max", round(avg(degree), 6) AS mean, round(median(degree), 6) AS median, round(stddev_pop(degree), 6) AS std FROM dg')
 def degree_stats(spark, sf_dir):
-    return rounded(fx.purchase(spark, sf_dir)[0].degree_stats())
+    return rounded(fx.purchase_whole(spark, sf_dir).degree_stats())
 
 
-@query(f"{_F3}, {_DEGREES} SELECT degree, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM dg WHERE degree > 0 GROUP BY degree")
+@query(f"{_W3}, {_DEGREES} SELECT degree, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM dg WHERE degree > 0 GROUP BY degree")
 def degree_histogram(spark, sf_dir):
-    return rounded(views.degree_histogram(fx.purchase(spark, sf_dir)[0]))
+    return rounded(views.degree_histogram(fx.purchase_whole(spark, sf_dir)))
 
 
-@query(f"{_F4} SELECT (SELECT count(*) FROM an) AS n_nodes, (SELECT count(*) FROM ae) AS n_edges, (SELECT count(DISTINCT type) FROM ae) AS n_types, round((SELECT count(*) FROM ae) / ((SELECT count(*) FROM an) * ((SELECT count(*) FROM an) - 1) / 2), 6) AS density")
+@query(f"{_W4} SELECT (SELECT count(*) FROM an) AS n_nodes, (SELECT count(*) FROM ae) AS n_edges, (SELECT count(DISTINCT type) FROM ae) AS n_types, round((SELECT count(*) FROM ae) / ((SELECT count(*) FROM an) * ((SELECT count(*) FROM an) - 1) / 2), 6) AS density")
 def inspect_graph(spark, sf_dir):
-    g = fx.co_events(spark, sf_dir)[0]
+    g = fx.co_events_whole(spark, sf_dir)
     n, m = g.nodes.agg(F.count(F.lit(1)).alias("n_nodes")), g.edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("type").alias("n_types"))
     return rounded(n.crossJoin(m).withColumn("density", F.try_divide("n_edges", F.col("n_nodes") * (F.col("n_nodes") - 1) / 2)))  # two single rows
 
@@ -251,7 +252,7 @@ def significance_scores(spark, sf_dir):
 
 
 def _pagerank_sql(steps: int) -> str:
-    parts = [f"{_F4}, adj AS (SELECT DISTINCT u, v FROM (SELECT source AS u, target AS v FROM ae UNION ALL SELECT target, source FROM ae) WHERE u <> v), dg AS (SELECT label AS u, (SELECT count(*) FROM adj WHERE adj.u = an.label) AS d, (SELECT count(*) FROM an) AS n FROM an), r0 AS (SELECT u, d, n, 1.0::DOUBLE / n AS r FROM dg)"]
+    parts = [f"{_W4}, adj AS (SELECT DISTINCT u, v FROM (SELECT source AS u, target AS v FROM ae UNION ALL SELECT target, source FROM ae) WHERE u <> v), dg AS (SELECT label AS u, (SELECT count(*) FROM adj WHERE adj.u = an.label) AS d, (SELECT count(*) FROM an) AS n FROM an), r0 AS (SELECT u, d, n, 1.0::DOUBLE / n AS r FROM dg)"]
     for i in range(1, steps + 1):
         parts.append(f"r{i} AS (SELECT x.u, x.d, x.n, 0.15 / x.n + 0.85 * (coalesce(s.s, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE d = 0) / x.n) AS r FROM dg x LEFT JOIN (SELECT v AS u, sum(r / d) AS s FROM adj JOIN r{i - 1} y ON adj.u = y.u GROUP BY v) s ON x.u = s.u)")
     return ", ".join(parts) + f" SELECT u AS label, round(r, 8) AS pagerank FROM r{steps}"
@@ -259,7 +260,7 @@ def _pagerank_sql(steps: int) -> str:
 
 @query(_pagerank_sql(8))
 def pagerank_fixed(spark, sf_dir):
-    return rounded(significance.pagerank_steps(fx.co_events(spark, sf_dir)[0], 8), 8)
+    return rounded(significance.pagerank_steps(fx.co_events_whole(spark, sf_dir), 8), 8)
 
 
 @query()
@@ -271,14 +272,14 @@ def significance_rank(spark, sf_dir):
 _ADJ = "adj AS (SELECT DISTINCT u, v FROM (SELECT source AS u, target AS v FROM {0} UNION ALL SELECT target, source FROM {0}) WHERE u <> v)"
 
 
-@query(f"{_F4}, {_ADJ.format('ae')}, t AS (SELECT a.u, count(*) / 2 AS t FROM adj a JOIN adj b ON a.v = b.u JOIN adj c ON b.v = c.u AND c.v = a.u GROUP BY a.u) SELECT u, t::BIGINT AS triangles FROM t")
+@query(f"{_W4}, {_ADJ.format('ae')}, t AS (SELECT a.u, count(*) / 2 AS t FROM adj a JOIN adj b ON a.v = b.u JOIN adj c ON b.v = c.u AND c.v = a.u GROUP BY a.u) SELECT u, t::BIGINT AS triangles FROM t")
 def triangles(spark, sf_dir):
-    return structure.triangles(structure.adjacency(fx.co_events(spark, sf_dir)[0]))
+    return structure.triangles(structure.adjacency(fx.co_events_whole(spark, sf_dir)))
 
 
-@query(f"{_F3}, {_ADJ.format('ae')}, far AS (SELECT DISTINCT a.u, b.v FROM adj a JOIN adj b ON a.v = b.u WHERE a.u <> b.v) SELECT u, count(*) AS two_hop FROM (SELECT * FROM far ANTI JOIN adj USING (u, v)) GROUP BY u")
+@query(f"{_W3}, {_ADJ.format('ae')}, far AS (SELECT DISTINCT a.u, b.v FROM adj a JOIN adj b ON a.v = b.u WHERE a.u <> b.v) SELECT u, count(*) AS two_hop FROM (SELECT * FROM far ANTI JOIN adj USING (u, v)) GROUP BY u")
 def two_hop_reach(spark, sf_dir):
-    return structure.two_hop(structure.adjacency(fx.purchase(spark, sf_dir)[0]))
+    return structure.two_hop(structure.adjacency(fx.purchase_whole(spark, sf_dir)))
 
 
 def _features_sql(edges: str, nodes: str, p: str) -> str:
@@ -291,9 +292,9 @@ def _features_sql(edges: str, nodes: str, p: str) -> str:
  {p}ft AS (SELECT b.u AS label, d::DOUBLE AS degree, c::DOUBLE AS clustering, coalesce(ad, 0)::DOUBLE AS neighbor_degree, (d + t)::DOUBLE AS ego_edges, greatest(coalesce(sd, 0) - d - 2 * t, 0)::DOUBLE AS ego_boundary, h::DOUBLE AS two_hop, coalesce(ac, 0)::DOUBLE AS neighbor_clustering FROM {p}b b LEFT JOIN {p}nb nb ON b.u = nb.u)"""
 
 
-@query(f"{_F4}, {_features_sql('ae', 'an', '')} SELECT label, " + ", ".join(f"round({f}, 6) AS {f}" for f in structure.FEATURES) + " FROM ft")
+@query(f"{_W4}, {_features_sql('ae', 'an', '')} SELECT label, " + ", ".join(f"round({f}, 6) AS {f}" for f in structure.FEATURES) + " FROM ft")
 def netsimile_features(spark, sf_dir):
-    return rounded(structure.local_features(fx.co_events(spark, sf_dir)[0]))
+    return rounded(structure.local_features(fx.co_events_whole(spark, sf_dir)))
 
 
 def _signature_sql(p: str) -> str:
@@ -305,9 +306,9 @@ def _signature_sql(p: str) -> str:
     return " UNION ALL ".join(f"SELECT '{f}' AS feature, '{k}' AS moment, {m(f, k)} AS value FROM ({centred})" for f in structure.FEATURES for k in structure.MOMENTS)
 
 
-@query(f"{_F4}, {_features_sql('ae', 'an', '')} SELECT feature, moment, round(value, 5) AS value FROM ({_signature_sql('')})")
+@query(f"{_W4}, {_features_sql('ae', 'an', '')} SELECT feature, moment, round(value, 5) AS value FROM ({_signature_sql('')})")
 def netsimile_signature(spark, sf_dir):
-    return rounded(structure.signature(structure.local_features(fx.co_events(spark, sf_dir)[0])), 5)
+    return rounded(structure.signature(structure.local_features(fx.co_events_whole(spark, sf_dir))), 5)
 
 
 @query(f"{_F4}, {_features_sql('ae', 'an', 'a_')}, {_features_sql('be', 'bn', 'b_')}, x AS ({_signature_sql('a_')}), y AS ({_signature_sql('b_')}) SELECT round(1 - sum(CASE WHEN abs(x.value) + abs(y.value) > 0 THEN abs(x.value - y.value) / (abs(x.value) + abs(y.value)) ELSE 0 END) / 35, 5) AS netsimile_similarity FROM x JOIN y USING (feature, moment)")

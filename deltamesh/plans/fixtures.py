@@ -20,6 +20,10 @@ def _halves(rows: DataFrame, first, weight, nodes=None, directed: bool = True) -
     return out[0], out[1]
 
 
+def _whole(rows: DataFrame, weight, directed: bool = True) -> PropertyGraph:
+    return graph(rows.groupBy("source", "type", "target").agg(weight.cast("long").alias("weight")), directed=directed, name="all")
+
+
 def _before(column: str, day: str):
     return F.col(column) < F.expr(f"timestamp_ntz '{day} 00:00:00'")
 
@@ -47,21 +51,37 @@ def priority(spark: SparkSession, sf_dir: str, attributes: bool = False) -> tupl
     return _halves(rows, _before("o_orderdate", "1998-04-15"), F.count(F.lit(1)), nodes)
 
 
+def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return l.join(o, l.l_orderkey == o.o_orderkey).select(F.concat(F.lit("C#"), "o_custkey").alias("source"), F.col("l_returnflag").alias("type"), F.concat(F.lit("S#"), "l_suppkey").alias("target"), "l_quantity", "o_orderdate")
+
+
 def purchase(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, PropertyGraph]:
     """Customers to suppliers by return flag, quantity as weight; two halves of the orders."""
-    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = l.join(o, l.l_orderkey == o.o_orderkey).select(F.concat(F.lit("C#"), "o_custkey").alias("source"), F.col("l_returnflag").alias("type"), F.concat(F.lit("S#"), "l_suppkey").alias("target"), "l_quantity", "o_orderdate")
-    return _halves(rows, _before("o_orderdate", "1998-04-15"), F.sum("l_quantity"))
+    return _halves(_purchases(spark, sf_dir), _before("o_orderdate", "1998-04-15"), F.sum("l_quantity"))
 
 
-def co_events(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, PropertyGraph]:
-    """Users who share a day, key and event type, without direction; two halves of the month."""
+def purchase_whole(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The same of all orders, as one graph."""
+    return _whole(_purchases(spark, sf_dir), F.sum("l_quantity"))
+
+
+def _shared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     cells = e.select(F.concat(F.lit("U#"), "user_id").alias("u"), F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type", _before("ts", "2024-01-16").alias("first")).distinct()
     x, y = cells.alias("x"), cells.alias("y")
     keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("day", "k", "event_type", "first")]
-    pairs = x.join(y, keys).where("x.u < y.u").select(F.col("x.u").alias("source"), F.col("x.event_type").alias("type"), F.col("y.u").alias("target"), F.col("x.first").alias("first"))
-    return _halves(pairs, F.col("first"), F.count(F.lit(1)), directed=False)
+    return x.join(y, keys).where("x.u < y.u").select(F.col("x.u").alias("source"), F.col("x.event_type").alias("type"), F.col("y.u").alias("target"), F.col("x.first").alias("first"))
+
+
+def co_events(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, PropertyGraph]:
+    """Users who share a day, key and event type, without direction; two halves of the month."""
+    return _halves(_shared_cells(spark, sf_dir), F.col("first"), F.count(F.lit(1)), directed=False)
+
+
+def co_events_whole(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The same of the whole month, as one graph."""
+    return _whole(_shared_cells(spark, sf_dir), F.count(F.lit(1)), directed=False)
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,13 +102,13 @@ def activity_attributes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 
 
 def renamed_parts(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, PropertyGraph]:
-    """Suppliers to parts they had returned; B has three of eight part labels rewritten lightly and one with a typo."""
+    """Suppliers to the parts they sold; B has three of eight part labels rewritten lightly and one with a typo."""
     p = table(spark, sf_dir, "part")
     label = F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_partkey").cast("string"))
     kind = F.col("p_partkey") % 8
     new = F.when(kind == 0, F.upper(label)).when(kind == 1, F.concat(label, F.lit(" Inc."))).when(kind == 2, F.replace(label, F.lit(" "), F.lit("-"))).when(kind == 3, F.concat(F.substring(label, 1, 2), F.lit("x"), F.expr("substring(concat_ws(' ', p_name, p_brand, p_type, cast(p_partkey as string)), 4)"))).otherwise(label)
     names = p.select("p_partkey", label.alias("old"), new.alias("new"))
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("S#"), "l_suppkey").alias("source"), "l_partkey").distinct().join(names, F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S#"), "l_suppkey").alias("source"), "l_partkey").distinct().join(names, F.col("l_partkey") == F.col("p_partkey"))
     out = []
     for name, column in (("a", "old"), ("b", "new")):
         out.append(graph(rows.select("source", F.lit("supplies").alias("type"), F.col(column).alias("target"), F.lit(1).cast("long").alias("weight")), name=name))
@@ -110,7 +130,7 @@ SQL = {
     ae AS (SELECT source, type, target, count(*)::BIGINT AS weight FROM f WHERE h GROUP BY ALL), be AS (SELECT source, type, target, count(*)::BIGINT AS weight FROM f WHERE NOT h GROUP BY ALL)""",
     "renamed_parts": """p AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_partkey AS old FROM part),
     n AS (SELECT p_partkey, old, CASE p_partkey % 8 WHEN 0 THEN upper(old) WHEN 1 THEN old || ' Inc.' WHEN 2 THEN replace(old, ' ', '-') WHEN 3 THEN substr(old, 1, 2) || 'x' || substr(old, 4) ELSE old END AS new FROM p),
-    f AS (SELECT DISTINCT 'S#' || l_suppkey AS source, l_partkey FROM lineitem WHERE l_returnflag = 'R'),
+    f AS (SELECT DISTINCT 'S#' || l_suppkey AS source, l_partkey FROM lineitem),
     ae AS (SELECT source, 'supplies' AS type, old AS target, 1::BIGINT AS weight FROM f JOIN n ON l_partkey = p_partkey), be AS (SELECT source, 'supplies' AS type, new AS target, 1::BIGINT AS weight FROM f JOIN n ON l_partkey = p_partkey)""",
 }
 #: Nodes an, bn, union nodes un and union edges ue, with scope flags.
@@ -128,3 +148,9 @@ ATTRIBUTES_SQL = """s2 AS (SELECT ((ts::DATE - DATE '2024-01-01') // 6)::INT AS
 
 def with_union(name: str) -> str:
     return f"WITH {SQL[name]}, {UNION_SQL}"
+
+
+def with_whole(name: str) -> str:
+    """The pair's rows as one graph: edges ae, nodes an."""
+    edges = SQL[name].replace("FROM f WHERE h GROUP BY ALL", "FROM f GROUP BY ALL").split(", be AS (")[0]
+    return f"WITH {edges}, an AS (SELECT source AS label FROM ae UNION SELECT target FROM ae)"
