@@ -279,3 +279,17 @@ def test_command_line(spark, pair, tmp_path, capsys):
     assert main(["check", *paths, "--rule", "nonsense"], spark) == 2
     assert main(["inspect", paths[0]], spark) == 0
     assert '"n_edges": 3' in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("hub", [2, 1024])
+def test_two_hop_whatever_the_share_of_a_hub(spark, monkeypatch, hub):
+    monkeypatch.setattr(structure, "HUB", hub)
+    edges = [("hub", f"n{i}") for i in range(9)] + [("n0", "n1"), ("n2", "far"), ("far", "end"), ("x", "y")]
+    near: dict[str, set[str]] = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want = {u: len(set().union(*(near[v] for v in near[u])) - near[u] - {u}) for u in near}
+    adj = spark.createDataFrame([(u, v) for u in near for v in near[u]], "u string, v string")
+    assert {r.u: r.two_hop for r in structure.two_hop(adj).collect()} == {u: n for u, n in want.items() if n}
+    assert structure.two_hop(adj.limit(0)).count() == 0
