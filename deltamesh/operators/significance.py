@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from deltamesh.functions.stats import surprise
 from deltamesh.model import PropertyGraph
+from deltamesh.operators.cells import Projection
 from deltamesh.operators.counts import background_rates, incident_counts
 from deltamesh.operators.frames import settled
 from deltamesh.operators.structure import adjacency
@@ -23,6 +24,8 @@ def pagerank_steps(g: PropertyGraph, steps: int, damping: float = DAMPING, toler
     Isolated nodes are dangling: their mass goes to all nodes alike. A checkpoint ends the lineage
     every few steps; with a tolerance it also ends the loop once the change is below.
     """
+    if g.cells is not None:
+        return _pagerank_of_cells(Projection(g), steps, damping, tolerance)
     adj = settled(adjacency(g))
     degree = adj.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     nodes = settled(g.nodes.select(F.col("label").alias("u")).join(degree, "u", "left").na.fill(0))
@@ -51,8 +54,24 @@ def pagerank_steps(g: PropertyGraph, steps: int, damping: float = DAMPING, toler
     return ranks.select(F.col("u").alias("label"), F.col("r").alias("pagerank"))
 
 
+def _pagerank_of_cells(p: Projection, steps: int, damping: float, tolerance: float | None) -> DataFrame:
+    """The same with each step's sums taken from the cells; the driver holds a few arrays as long as the nodes."""
+    if p.n == 0:
+        return p.frame(pagerank=np.zeros(0))
+    degree = p.degrees()
+    r = np.full(p.n, 1.0 / p.n)
+    for _ in range(steps):
+        new = (1 - damping) / p.n + damping * (p.sums(r / np.maximum(degree, 1))[0] + r[degree == 0].sum() / p.n)
+        gap, r = np.abs(new - r).sum(), new
+        if tolerance is not None and gap < tolerance:
+            break
+    return p.frame(pagerank=r)
+
+
 def pagerank(g: PropertyGraph, local_edges: int = 3_000_000, local_nodes: int = 2_000_000, tolerance: float = 1e-10) -> DataFrame:
     """(label, pagerank) to convergence: arrays in the driver where the counted graph is below the bounds, DataFrames beyond."""
+    if g.cells is not None:
+        return pagerank_steps(g, 400, tolerance=tolerance)
     adj = adjacency(g).persist()
     n, m = g.nodes.count(), adj.count()
     if n > local_nodes or m > 2 * local_edges:

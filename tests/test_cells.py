@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltamesh.model import graph
-from deltamesh.operators import structure
+from deltamesh.operators import significance, structure
 from deltamesh.plans import catalogue, fixtures
 
 
@@ -58,3 +58,8 @@ def test_weisfeiler_lehman_from_cells(spark, forms):
     edges, cells = forms
     own = structure.wl_labels({"x": without_edges(spark, cells)}, 2).groupBy("depth", "n").count()
     assert rows_of(own) == rows_of(structure.wl_labels({"x": edges}, 2).groupBy("depth", "n").count())
+
+
+def test_pagerank_from_cells(spark, forms):
+    edges, cells = forms
+    assert rows_of(significance.pagerank_steps(without_edges(spark, cells), 8)) == rows_of(significance.pagerank_steps(edges, 8))
