@@ -134,7 +134,7 @@ def relabel(b: PropertyGraph, alignment: DataFrame) -> PropertyGraph:
         edges = edges.withColumns({"source": F.least("source", "target"), "target": F.greatest("source", "target")})
     rest = [c for c in b.edges.columns if c not in KEY]
     edges = edges.groupBy(*KEY).agg(F.min_by(F.struct(*rest), "__was").alias("__rest")).select(*KEY, *[F.col(f"__rest.`{c}`").alias(c) for c in rest]) if rest else edges.select(*KEY).distinct()
-    return replace(b, nodes=nodes, edges=edges, cells=None)
+    return replace(b, nodes=nodes, edges=edges, cells=None, closed=False)
 
 
 def build_union(a: PropertyGraph, b: PropertyGraph, comparison: AttributeComparison = AttributeComparison(), alignment: DataFrame | None = None) -> UnionDiff:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,18 @@ def test_two_hop_whatever_the_share_of_a_hub(spark, monkeypatch, hub):
     adj = spark.createDataFrame([(u, v) for u in near for v in near[u]], "u string, v string")
     assert {r.u: r.two_hop for r in structure.two_hop(adj).collect()} == {u: n for u, n in want.items() if n}
     assert structure.two_hop(adj.limit(0)).count() == 0
+
+
+def test_two_hop_of_random_graphs_makes_no_wedges(spark):
+    rng = random.Random(5)
+    near: dict[str, set[str]] = {}
+    for _ in range(900):
+        u, v = rng.sample([f"n{i}" for i in range(400)], 2)
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want = {u: len(set().union(*(near[v] for v in near[u])) - near[u] - {u}) for u in near}
+    adj = spark.createDataFrame([(u, v) for u in near for v in near[u]], "u string, v string")
+    found = structure.two_hop(adj)
+    assert {r.u: r.two_hop for r in found.collect()} == {u: n for u, n in want.items() if n}
+    # between the edges and the counts are lists of neighbours, not the pairs of a join on the middle node
+    assert "near" in found._jdf.queryExecution().analyzed().toString()
