@@ -32,11 +32,12 @@ Verification is the intersection of sorted arrays of 64-bit shingle hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -58,6 +59,8 @@ KEY_BITS = 48
 SLOTS, MOST_SLOTS = 1 << 23, 1 << 27
 #: Bytes of documents, and postings, that one task gathers.
 TASK_BYTES, TASK_POSTINGS = 32 << 20, 1_500_000
+#: Rows that Spark hands over at once: sets and signatures are wide, and both sides hold a whole batch beside the heap.
+BATCH_ROWS = 500
 _BANDS = 2.41  # bands per factor e: sizes within the similarity lie in the same or neighbouring bands
 
 
@@ -130,6 +133,19 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most BATCH_ROWS rows for the jobs that run meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    most = int(before)
+    spark.conf.set(key, str(min(most, BATCH_ROWS) if most > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of input as Spark's planner knows them; 0 where it doesn't."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -551,6 +567,11 @@ def joining_links(cell: pa.Table) -> pa.RecordBatch | None:
 
 def components_of(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The profiles of (doc_id, text) rows, and rows (cid, s1, s2, n, doc_id, comp): each distinct non-empty set, its smallest id and its component."""
+    with small_batches(source.sparkSession):
+        return _components_of(source)
+
+
+def _components_of(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = source.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(frequent(source, max(least, size_of(source) // SAMPLE // TASK_BYTES + 1)))

@@ -129,3 +129,13 @@ def test_cells_pass_on_fewer_links_than_rows():
     cell = pa.table({"comp": np.arange(150), "role": np.full(150, 3, np.int32), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
     links = ngram_join.joining_links(cell)
     assert links.num_rows == 149 and all(a < b for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True))
+
+
+def test_wide_rows_come_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    whole = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda *a: seen.append(int(spark.conf.get(key))) or whole(*a))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i % 2}") for i in range(4)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    assert seen == [ngram_join.BATCH_ROWS] and spark.conf.get(key) == before
