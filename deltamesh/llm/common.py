@@ -54,6 +54,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table that `cut` wrote, once nothing reads it any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        discard(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished queries are deleted when the JVM drops their plans: have it do so now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_crc(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo `modulus`; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from deltamesh.llm.common import cut
+from deltamesh.llm.common import cut, dropped, release
 from deltamesh.llm.components import connected
 from deltamesh.llm.textarrays import Lookup, Slice, mixed, slices_of, windows, words_of
 
@@ -59,6 +59,8 @@ KEY_BITS = 48
 SLOTS, MOST_SLOTS = 1 << 23, 1 << 27
 #: Bytes of documents, and postings, that one task gathers.
 TASK_BYTES, TASK_POSTINGS = 32 << 20, 1_500_000
+#: Postings that a task sorts by their partition at once: few at once would make many short rows.
+DEALT_POSTINGS = 300_000
 #: Rows that Spark hands over at once: sets and signatures are wide, and both sides hold a whole batch beside the heap.
 BATCH_ROWS = 500
 _BANDS = 2.41  # bands per factor e: sizes within the similarity lie in the same or neighbouring bands
@@ -228,9 +230,31 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of whole numbers, byte by byte: those that hardly change lie together and compress."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def packed_postings(key: np.ndarray, salt: np.ndarray, cid: np.ndarray, n: np.ndarray, place: np.ndarray, central: np.ndarray) -> bytes:
+    return b"".join([planes(key, KEY_BITS // 8), planes(salt, 2), planes(np.diff(cid, prepend=0), 8), planes(n, 4), planes(place, 4), planes(central, 2)])
+
+
+def unpacked_postings(raw: bytes) -> list[np.ndarray]:
+    """The columns of packed_postings, with key and salt as one number: key, cid, n, place, central."""
+    sizes = (KEY_BITS // 8, 2, 8, 4, 4, 2)
+    rows = np.frombuffer(raw, np.uint8).reshape(sum(sizes), -1)
+    out, at = [], 0
+    for size in sizes:
+        whole = np.zeros((rows.shape[1], 8), np.uint8)
+        whole[:, :size] = rows[at : at + size].T
+        out.append(whole.view("<u8").ravel())
+        at += size
+    key, salt, cid, n, place, central = out
+    return [key | (salt << np.uint64(KEY_BITS)), np.cumsum(cid.view(np.int64)), n.astype(np.int32), place.astype(np.int32), central.astype(np.int16)]
+
+
 def deal(classes: DataFrame, hot, parts: int) -> DataFrame:
     """Postings of the classes, packed by the partition that gets a key; tiles expected to be large are split by salts."""
-    names = ["part", "keys", "ids", "sizes", "reaches", "centrals"]
     in_part = PART_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,28 +263,35 @@ def deal(classes: DataFrame, hot, parts: int) -> DataFrame:
         large, at = np.unique(hashes[many] >> np.uint64(64 - KEY_BITS), return_index=True)
         splits = np.r_[-(-often[many][at] * SAMPLE // in_part), 0]  # the last stands for absent ones
         look = Lookup(large << np.uint64(64 - KEY_BITS))
+
+        def spread(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            raw = t["prefix"].to_pylist()
+            key = _unpacked(b"".join(raw))
+            count = np.array([len(x) // 6 for x in raw])
+            cid, n, central = (np.repeat(t[c].to_numpy(), count) for c in ("cid", "n", "central"))
+            place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            split = splits[look(key << np.uint64(64 - KEY_BITS))]
+            salt = np.where(split > 0, (mixed(cid.astype(np.uint64)) % np.maximum(split, 1).astype(np.uint64)).astype(np.int64) % ((1 << 16) - 1) + 1, 0).astype(np.uint64)
+            part = ((key * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+            for x in range(0, len(edges) - 1, 100):
+                own = [order[i:j] for i, j in zip(edges[x : x + 100].tolist(), edges[x + 1 : x + 101].tolist(), strict=False)]
+                data = [packed_postings(*(c[o] for c in (key, salt, cid, n, place, central))) for o in own]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[o[0]]) for o in own], pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+        held, size = [], 0
         for batch in batches:
-            raw = batch.column("prefix").to_pylist()
-            for a in range(0, len(raw), 2000):
-                own = raw[a : a + 2000]
-                key = _unpacked(b"".join(own))
-                count = np.array([len(x) // 6 for x in own])
-                cid, n, central = (np.repeat(np.asarray(batch.column(c))[a : a + 2000], count) for c in ("cid", "n", "central"))
-                place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-                split = splits[look(key << np.uint64(64 - KEY_BITS))]
-                salt = np.where(split > 0, (mixed(cid.astype(np.uint64)) % np.maximum(split, 1).astype(np.uint64)).astype(np.int64) % ((1 << 16) - 1) + 1, 0).astype(np.uint64)
-                spread = (key * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
-                part = (spread % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-                rows = []
-                columns = (key | (salt << np.uint64(KEY_BITS)), cid, n.astype(np.int32), reach(n, place).astype(np.int32), central.astype(np.int16))
-                for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    o = order[x:y]
-                    rows.append((int(part[o[0]]), *(c[o].tobytes() for c in columns)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))], names)
+            held.append(batch)
+            size += batch.column("prefix").nbytes // 6
+            if size >= DEALT_POSTINGS:
+                yield from spread(held)
+                held, size = [], 0
+        if held:
+            yield from spread(held)
 
-    return classes.select("cid", "n", "central", "prefix").mapInArrow(run, "part int, keys binary, ids binary, sizes binary, reaches binary, centrals binary").repartition(parts, "part")
+    return classes.select("cid", "n", "central", "prefix").mapInArrow(run, "part int, data binary").repartition(parts, "part")
 
 
 def partnered(tile: np.ndarray, n: np.ndarray, far: np.ndarray, comp: np.ndarray | None = None) -> np.ndarray:
@@ -311,8 +342,9 @@ def tie(dealt: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
-            for k, (c, t) in enumerate((("keys", "<u8"), ("ids", "<i8"), ("sizes", "<i4"), ("reaches", "<i4"), ("centrals", "<i2"))):
-                held[k].append(np.frombuffer(b"".join(batch.column(c).to_pylist()), t))
+            for raw in batch.column("data"):
+                for h, x in zip(held, unpacked_postings(raw.as_py()), strict=True):
+                    h.append(x)
         if not held[0]:
             return
         key = np.concatenate(held[0])
@@ -321,7 +353,8 @@ def tie(dealt: DataFrame) -> DataFrame:
         same = np.r_[False, key[1:] == key[:-1], False]
         few = same[1:] | same[:-1] | (key >> np.uint64(KEY_BITS) > 0)
         key, order = key[few], order[few]
-        cid, n, far, central = (np.concatenate(x)[order] for x in held[1:])
+        cid, n, place, central = (np.concatenate(x)[order] for x in held[1:])
+        far = reach(n, place)
         keep = partnered(key, n, far) | (key >> np.uint64(KEY_BITS) > 0)
         key, cid, n, far, central = (x[keep] for x in (key, cid, n, far, central))
         if not len(key):
@@ -346,6 +379,33 @@ def tie(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, salted boolean, id long, n int, far int, central short, centre1 long, centre2 long")
 
 
+def marked(ids: DataFrame) -> dict[int, bytes]:
+    """Bits of the row numbers in the one column of ids, by runs of 32768 rows."""
+    row = ids.columns[0]
+    # Spark's bitmaps: value 1 is the first bit of bucket 1
+    bits = ids.groupBy(F.expr(f"bitmap_bucket_number({row} + 1) - 1").alias("run")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({row} + 1))").alias("bits"))
+    return {r["run"]: bytes(r["bits"]) for r in bits.collect()}
+
+
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose number, their first column, is among the ids: the others never leave their task."""
+    runs = rows.sparkSession.sparkContext.broadcast(marked(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = runs.value
+        for batch in batches:
+            own = np.asarray(batch.column(0))
+            keep = np.zeros(len(own), bool)
+            for r in np.unique(own >> 15).tolist():
+                if r in bits:
+                    at = np.flatnonzero(own >> 15 == r)
+                    place = own[at] & 32767
+                    keep[at] = (np.frombuffer(bits[r], np.uint8)[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def needed_slots(ids: DataFrame) -> tuple[int, np.ndarray]:
     """The number of bits, and a bit array over hashes of the ids: 16 bits an id, one megabyte at least and 16 at most."""
     count = ids.count()
@@ -381,7 +441,7 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(n_slots))
     found = source.select(slot.alias("slot"), "text").mapInArrow(run, "s1 long, s2 long, hashes binary")
-    return found.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).groupBy("cid").agg(F.any_value("hashes").alias("hashes"))
+    return found.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).groupBy("s1", "s2", "cid").agg(F.any_value("hashes").alias("hashes")).select("cid", "hashes")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
@@ -406,15 +466,21 @@ def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFra
                 keep.append(DEN * both >= NUM * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    signed = classes.select("cid", "n", "bits")
+    left = only(signed, pairs.select("a")).toDF("a", "na", "xa")
+    right = only(signed, pairs.select("b")).toDF("b", "nb", "xb")
     hopeful = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a long, b long"), "hopeful")
     ids = hopeful.select(F.col("a").alias("cid")).unionByName(hopeful.select(F.col("b").alias("cid"))).distinct()
     wanted = cut(classes.join(ids, "cid").select("cid", "doc_id", "s1", "s2"), "wanted")
     sets = cut(sets_of(source, wanted), "sets")
+    dropped(wanted)
     with_a = hopeful.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("xa")), "a")
     with_both = with_a.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("xb")), "b").select("a", "b", "xa", "xb")
-    return cut(with_both.mapInArrow(exact, "a long, b long"), "links")
+    links = cut(with_both.mapInArrow(exact, "a long, b long"), "links")
+    dropped(hopeful)
+    dropped(sets)
+    release(source.sparkSession)
+    return links
 
 
 def _possible(x: np.ndarray, n: int, ys: np.ndarray, ns: np.ndarray) -> np.ndarray:
@@ -575,14 +641,17 @@ def _components_of(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = source.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = spark.sparkContext.broadcast(frequent(source, max(least, size_of(source) // SAMPLE // TASK_BYTES + 1)))
-    rows = cut(profiles(source, hot), "profiles")
-    by_set = ["s1", "s2", "n"]
-    filled = rows.where("n > 0")
-    classes = cut(filled.groupBy(*by_set).agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id"), F.any_value("central").alias("central"), F.any_value("bits").alias("bits"), F.any_value("prefix").alias("prefix")), "classes")
+    full = cut(profiles(source, hot), "profiles")
+    # signatures and prefixes are wide: sets are told apart without them, and their first rows picked where they are
+    grouped = cut(full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("cid"), F.min("doc_id").alias("doc_id")), "keys")
+    classes = cut(only(full, grouped.select("cid")).withColumnRenamed("row", "cid"), "classes")
+    rows = cut(full.select("doc_id", "n", "s1", "s2"), "rows")
+    dropped(full)
     postings = classes.agg(F.sum(F.length("prefix"))).first()[0] or 0
     parts = max(least, postings // (KEY_BITS // 8) // TASK_POSTINGS + 1)
 
     tiles = cut(tie(deal(classes, hot, parts)), "tiles")
+    release(spark)
     centres = tiles.select(F.col("centre1").alias("a"), F.col("id").alias("b")).unionByName(tiles.select(F.col("centre2").alias("a"), F.col("id").alias("b")))
     # centres of the parts of a large tile are tied to the most central of them
     part_centres = tiles.where("salted and (id = centre1 or id = centre2)").select("key", F.floor(F.log(F.col("n")) * _BANDS).alias("band"), "id", "n", "central").distinct()
@@ -593,19 +662,24 @@ def _components_of(source: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     label = tiles.select("key", "salted", "id", "n", "far").join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("key", "salted", "id", "n", "far", "comp")
     label = cut(unsettled_rows(label, parts), "unsettled")
+    dropped(tiles)
     mark = F.xxhash64("id")
     sizes = label.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("shingles"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 40))).alias("y"))
     per_key = sizes.groupBy("key").agg(F.sum("held").alias("members"), F.sum("shingles").alias("shingles"), F.max(F.struct("held", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("comps > 1")
     # tiles with the same members hold the same pairs: one of them is searched
     per_key = per_key.groupBy("members", "shingles", "x", "y").agg(F.min(F.struct("key", "top")).alias("one")).select("one.key", "members", "shingles", "one.top")
-    open_rows = in_cells(label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp")))
-    signed = open_rows.join(classes.select(F.col("cid").alias("id"), "bits"), "id")
+    open_rows = cut(in_cells(label.join(per_key, "key").withColumn("major", F.col("comp") == F.col("top.comp"))), "open")
+    signed = open_rows.join(only(classes.select("cid", "bits"), open_rows.select("id")).withColumnRenamed("cid", "id"), "id")
     hopeful = cut(by_cell(signed, "bits", parts, suspects, "key long, block long, id long, comp long, n int, role int"), "suspects")
     wanted = cut(classes.join(hopeful.select(F.col("id").alias("cid")).distinct(), "cid").select("cid", "doc_id", "s1", "s2"), "wanted")
     sets = cut(sets_of(source, wanted), "sets").withColumnRenamed("cid", "id")
     joined = connected(cut(by_cell(hopeful.join(sets, "id"), "hashes", parts, joining_links, "a long, b long"), "joining"))
 
-    first = classes.select("cid", "s1", "s2", "n", "doc_id").join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("first", F.coalesce("component", "cid"))
+    for one in (label, open_rows, hopeful, wanted, sets, classes):
+        dropped(one)
+    release(spark)
+
+    first = grouped.join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("first", F.coalesce("component", "cid"))
     last = first.join(joined.select(F.col("id").alias("first"), F.col("component").alias("merged")), "first", "left")
     return rows, last.select("cid", "s1", "s2", "n", "doc_id", F.coalesce("merged", "first").alias("comp"))
 

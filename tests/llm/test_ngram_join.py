@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 
 from deltamesh.llm import ngram_join
+from deltamesh.llm.common import scratch_root
 from deltamesh.llm.ngram_join import near_duplicates, partnered, reach, shingle_sets
 from deltamesh.llm.textarrays import slices_of
 
@@ -139,3 +141,29 @@ def test_wide_rows_come_in_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"one two three four five six seven {i % 2}") for i in range(4)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
     assert seen == [ngram_join.BATCH_ROWS] and spark.conf.get(key) == before
+
+
+def test_wide_tables_go_when_they_are_read(spark):
+    folder = Path(scratch_root(spark).removeprefix("file:").replace("//", "/"), "deltamesh")
+    before = set(folder.glob("*"))
+    rows = near_misses(4)
+    assert run(spark, rows) == brute(rows)
+    left = {x.name.rsplit("-", 1)[0] for x in set(folder.glob("*")) - before}
+    assert "rows" in left and not left & {"profiles", "classes", "tiles", "unsettled", "hopeful", "suspects", "open", "wanted", "sets"}
+
+
+def test_postings_come_back_from_their_bytes():
+    r = np.random.default_rng(6)
+    key, salt = r.integers(0, 1 << 48, 99, dtype=np.uint64), r.integers(0, 1 << 16, 99, dtype=np.uint64)
+    cid, n, place, central = r.integers(0, 1 << 62, 99), r.integers(0, 1 << 31, 99), r.integers(0, 1 << 31, 99), r.integers(0, 1001, 99)
+    got = ngram_join.unpacked_postings(ngram_join.packed_postings(key, salt, cid, n, place, central))
+    for x, y in zip(got, (key | (salt << np.uint64(48)), cid, n, place, central), strict=True):
+        assert (x == y).all()
+
+
+def test_only_the_rows_asked_for(spark):
+    numbers = [0, 1, 32767, 32768, 65535, (1 << 33) - 1, 1 << 33, (5 << 33) + 40000]
+    rows = spark.createDataFrame([(x, f"r{x}") for x in numbers], "row long, name string")
+    for want in ([], [0], [32767, 1 << 33], numbers[1::2]):
+        ids = spark.createDataFrame([(x,) for x in [*want, *want, 77]], "id long")
+        assert sorted(r.row for r in ngram_join.only(rows, ids).collect()) == sorted(want)
