@@ -19,22 +19,29 @@ from pyspark.sql import functions as F
 
 from deltamesh.model import PropertyGraph
 
-#: Words of 64 neighbours that a task of `Projection.counts` holds of every node, a multiple of 8.
-WORDS = 64
-#: Words that are compared at once.
-STEP = 1 << 17
-_LANES, _ADD = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0001000100010001)
+#: Words of 64 neighbours that a task of `Projection.counts` holds of every node, at most.
+WORDS = 256
+#: Words that are added at once.
+STEP = 1 << 14
+#: Nodes whose lists are brought in order at once, and nodes on whose words they stay together.
+GROUP, TILE = 1024, 2048
+#: Neighbours a block of `Projection.blocks` holds, plus those of its last node.
+BLOCK = 500_000
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Members of each cell, one cell after the other, and the cells of each of n nodes."""
+    """Members of each cell in ascending order, one cell after the other, and the cells of each of n nodes.
+
+    place: where a node stands among the members, for each of its cells.
+    """
 
     n: int
     member: np.ndarray
     starts: np.ndarray
     cell: np.ndarray
     first: np.ndarray
+    place: np.ndarray
 
     def neighbours(self) -> Callable[[int], np.ndarray]:
         """A function from a node to its neighbours in ascending order."""
@@ -54,11 +61,89 @@ class Cells:
         return near
 
 
-def row_counts(bits: np.ndarray) -> np.ndarray:
-    """Bits set in each row of words, whose number is a multiple of 8 and at most 128."""
-    by_byte = np.bitwise_count(bits).view(np.uint64)
-    pairs = (by_byte & _LANES) + ((by_byte >> np.uint64(8)) & _LANES)
-    return ((pairs.sum(1, dtype=np.uint64) * _ADD) >> np.uint64(48)).astype(np.int64)
+    def excess(self, after: bool = False) -> Callable[[int], np.ndarray]:
+        """A function from a node to the others that it shares more than one cell with, once for each cell beyond the first.
+
+        after: only those of higher numbers.
+        """
+        last, count = np.zeros(self.n, np.int32), np.arange(len(self.member), dtype=np.int32)
+        starts, first = self.starts.tolist(), self.first.tolist()
+
+        def more(u: int) -> np.ndarray:
+            at = range(first[u], first[u + 1])
+            if not at:
+                return np.zeros(0, self.member.dtype)
+            low = (self.place[at.start : at.stop] + 1).tolist() if after else [starts[c] for c in self.cell[at.start : at.stop].tolist()]
+            x = np.concatenate([self.member[a : starts[c + 1]] for a, c in zip(low, self.cell[at.start : at.stop].tolist(), strict=True)])
+            k = count[: len(x)]
+            last[x] = k
+            x = x[last[x] != k]
+            return x if after else x[x != u]
+
+        return more
+
+    def few(self) -> bool:
+        """Whether the lists of `excess` are shorter than those of neighbours; a look at some nodes, for the cost only."""
+        near, more = self.neighbours(), self.excess()
+        some = range(0, self.n, max(1, self.n // 200))
+        return sum(len(more(u)) for u in some) < sum(len(near(u)) for u in some)
+
+    def within(self, x: np.ndarray) -> np.ndarray:
+        """For each node the sum over its cells of their members' sum, its own share included."""
+        out = np.zeros(self.n, x.dtype)
+        linked = np.flatnonzero(np.diff(self.first))
+        if len(linked):
+            out[linked] = np.add.reduceat(np.add.reduceat(x[self.member], self.starts[:-1])[self.cell], self.first[linked])
+        return out
+
+
+class Counters:
+    """Totals of bits by their place: words are added, three sums of a weight become one and a carry."""
+
+    def __init__(self, words: int):
+        self.words, self.rows = words, max(1, STEP // words)
+        self.held: list[list[np.ndarray]] = []
+
+    def add(self, x: np.ndarray) -> None:
+        """x: `rows` times `words`; it is changed."""
+        for own in self.held:
+            if len(own) < 2:
+                own.append(x)
+                return
+            a, b = own
+            half = a ^ b
+            a &= b
+            a |= half & x
+            half ^= x
+            own[:] = [half]
+            x = a
+        self.held.append([x])
+
+    def total(self) -> np.ndarray:
+        out = np.zeros(64 * self.words, np.int64)
+        for weight, own in enumerate(self.held):
+            for x in own:
+                out += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64) << weight
+        return out
+
+
+def column_counts(x: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set."""
+    out = np.zeros(64 * x.shape[1], np.int64)
+    weight = 0
+    while len(x):
+        up = []
+        while len(x) > 2:
+            k = len(x) // 3
+            a, b, c = x[:k], x[k : 2 * k], x[2 * k : 3 * k]
+            half = a ^ b
+            up.append((a & b) | (half & c))
+            x = np.concatenate([half ^ c, x[3 * k :]])
+        for row in x:
+            out += np.unpackbits(row.view(np.uint8), bitorder="little").astype(np.int64) << weight
+        x = np.concatenate(up) if up else x[:0]
+        weight += 1
+    return out
 
 
 class Projection:
@@ -70,12 +155,15 @@ class Projection:
         self.labels = labels.take(pc.sort_indices(labels))
         self.n = len(self.labels)
         ids = self.spark.createDataFrame(pa.table({"label": self.labels, "id": pa.array(np.arange(self.n, dtype=np.int32))}))
-        own = g.cells.join(ids, "label").groupBy("cell").agg(F.collect_set("id").alias("own")).where(F.size("own") > 1).select("own").toArrow()["own"].combine_chunks()
+        kinds = [c for c in g.cells.columns if c not in ("label", "cell")]
+        found = g.cells.join(ids, "label").groupBy("cell", *kinds).agg(F.sort_array(F.collect_set("id")).alias("own")).where(F.size("own") > 1).select("own", *kinds).toArrow()
+        self.kinds = {c: found[c].to_pylist() for c in kinds}
+        own = found["own"].combine_chunks()
         starts = np.asarray(own.offsets).astype(np.int64)
         member = np.asarray(own.flatten())
         order = np.argsort(member, kind="stable")
         cell = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(starts))[order]
-        self.cells = Cells(self.n, member, starts, cell, np.searchsorted(member[order], np.arange(self.n + 1)))
+        self.cells = Cells(self.n, member, starts, cell, np.searchsorted(member[order], np.arange(self.n + 1)), order)
         self.sent = self.spark.sparkContext.broadcast(self.cells)
         self.tasks = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,53 +203,81 @@ class Projection:
     def degrees(self) -> np.ndarray:
         return self.sums(np.ones(self.n, np.int64))[0]
 
-    def counts(self) -> DataFrame:
-        """Rows (id, degree, triangles, two_hop) of every node.
+    def counts(self, two_hop: bool = True) -> DataFrame:
+        """Rows (id, degree, triangles), and two_hop if it is asked for, of every node.
+
+        The number of cells that two nodes share is 1 and their excess if they are adjacent, else 0. So
+        the adjacent pairs around a node, twice its triangles, are the sum of the squares of how many
+        neighbours it has in each cell, less the pairs of a neighbour with itself and the excess
+        of pairs of neighbours; that is counted pair by pair, as there are fewer than edges. Where
+        cells overlap so much that there are not, edges are counted instead.
 
-        A task holds, for some of the nodes, which others have them as neighbours, as bits. Two
-        neighbours' common ones close triangles. What lies within two steps of a node is what the
-        members of its cells have as neighbours, so each cell's bits are laid over each other once.
+        A task holds, for some of the nodes, which others have them as neighbours, as bits, and takes
+        a share of the cells and pairs. What lies within two steps of a node is what the members of
+        its cells have as neighbours, so each cell's bits are laid over each other once.
         """
-        n, cells = self.n, self.sent
-        words = min(WORDS, max(16, -(-n // (64 * self.tasks * 8)) * 8))
-        parts = max(1, -(-n // (64 * words)))
+        n, cells, few = self.n, self.sent, self.cells.few()
+        blocks = max(1, -(-n // (64 * WORDS)))
+        words = max(1, -(-n // (64 * blocks)))
+        shares = -(-2 * self.spark.sparkContext.defaultParallelism // blocks)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = cells.value
-            near = own.neighbours()
+            near, more = own.neighbours(), own.excess(after=True)
+            many = np.diff(own.first)
             for batch in batches:
                 for p in batch.column(0).to_pylist():
-                    low, high = 64 * words * p, min(n, 64 * words * (p + 1))
+                    p, share = p // shares, p % shares
+                    low, high = min(n, 64 * words * p), min(n, 64 * words * (p + 1))
+                    part = lambda size, q=share: (size * q // shares, size * (q + 1) // shares)
                     m = np.zeros((n, words), np.uint64)
+                    degree, alone = np.zeros(high - low, np.int64), np.zeros(high - low, np.int64)
                     for w in range(-(-(high - low) // 64)):
                         bits = np.zeros((64, n), np.uint8)
                         for i, u in enumerate(range(low + 64 * w, min(high, low + 64 * w + 64))):
-                            bits[i, near(u)] = 1
-                        m[:, w] = np.ascontiguousarray(np.packbits(bits, axis=0).T).view(np.uint64)[:, 0]
-                    twice, within = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                    step = STEP // words
-                    for u in range(n):
-                        at = near(u)
-                        at = at[np.searchsorted(at, u) :]
-                        for a in range(0, len(at), step):
-                            some = at[a : a + step]
-                            both = row_counts(m[some] & m[u])
-                            twice[some] += both
-                            twice[u] += both.sum()
-                    by_cell = np.zeros((len(own.starts) - 1, words), np.uint64)
-                    for c in range(len(by_cell)):
-                        by_cell[c] = np.bitwise_or.reduce(m[own.member[own.starts[c] : own.starts[c + 1]]], axis=0)
-                    for u in range(n):
-                        mine = own.cell[own.first[u] : own.first[u + 1]]
-                        if len(mine):
-                            within[u] = int(np.bitwise_count(np.bitwise_or.reduce(by_cell[mine], axis=0)).sum(dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(row_counts(m)), pa.array(twice), pa.array(within)], ["id", "degree", "twice", "within"])
-
-        got = self.spark.range(0, parts, 1, parts).mapInArrow(run, "id long, degree long, twice long, within long")
-        total = got.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("degree", "twice", "within")))
+                            at = near(u)
+                            bits[i, at] = 1
+                            degree[u - low], alone[u - low] = len(at), many[at].sum()
+                        m[:, w] = np.ascontiguousarray(np.packbits(bits, axis=0, bitorder="little").T).view(np.uint64)[:, 0]
+                    pairs = Counters(words)
+                    first, end = part(n)
+                    for g in range(first, end, GROUP):
+                        lists = [more(u) if few else (x := near(u))[np.searchsorted(x, u) :] for u in range(g, min(end, g + GROUP))]
+                        x, y = np.concatenate(lists), np.repeat(np.arange(g, g + len(lists)), [len(a) for a in lists])
+                        order = np.argsort((x // TILE).astype(np.uint16), kind="stable")
+                        x, y = x[order], y[order]
+                        for a in range(0, len(x), pairs.rows):
+                            both = np.take(m, x[a : a + pairs.rows], axis=0)
+                            both &= np.take(m, y[a : a + pairs.rows], axis=0)
+                            if len(both) < pairs.rows:
+                                both = np.concatenate([both, np.zeros((pairs.rows - len(both), words), np.uint64)])
+                            pairs.add(both)
+                    twice = 2 * pairs.total()[: high - low]
+                    if few:
+                        twice = -twice - (alone if share == 0 else 0)
+                        for c in range(*part(len(own.starts) - 1)):
+                            twice += column_counts(m[own.member[own.starts[c] : own.starts[c + 1]]])[: high - low] ** 2
+                    none = np.zeros(high - low, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high)), pa.array(none if share else degree), pa.array(twice), pa.array(none)], names)
+                    if two_hop:
+                        by_cell = np.zeros((len(own.starts) - 1, words), np.uint64)
+                        for c in range(len(by_cell)):
+                            by_cell[c] = np.bitwise_or.reduce(m[own.member[own.starts[c] : own.starts[c + 1]]], axis=0)
+                        first, end = part(n)
+                        within = np.zeros(end - first, np.int64)
+                        for u in range(first, end):
+                            mine = own.cell[own.first[u] : own.first[u + 1]]
+                            if len(mine):
+                                within[u - first] = int(np.bitwise_count(np.bitwise_or.reduce(by_cell[mine], axis=0)).sum(dtype=np.int64))
+                        none = np.zeros(end - first, np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, end)), pa.array(none), pa.array(none), pa.array(within)], names)
+
+        names = ["id", "degree", "twice", "within"]
+        got = self.spark.range(0, blocks * shares, 1, blocks * shares).mapInArrow(run, "id long, degree long, twice long, within long")
+        total = got.groupBy("id").agg(*(F.sum(c).alias(c) for c in names[1:]))
         # within two steps are the node itself and its neighbours too, if it has any
         far = F.when(F.col("degree") > 0, F.col("within") - F.col("degree") - 1).otherwise(0)
-        return total.select("id", "degree", F.expr("twice div 2").alias("triangles"), far.cast("long").alias("two_hop"))
+        return total.select("id", "degree", F.expr("twice div 2").alias("triangles"), *([far.cast("long").alias("two_hop")] if two_hop else []))
 
     def components(self) -> np.ndarray:
         """For each node the smallest number that it is connected with."""

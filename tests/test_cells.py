@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltamesh.model import graph
+from deltamesh.operators import cells as cells_of
 from deltamesh.operators import significance, structure
 from deltamesh.plans import catalogue, fixtures
 
@@ -63,3 +64,22 @@ def test_weisfeiler_lehman_from_cells(spark, forms):
 def test_pagerank_from_cells(spark, forms):
     edges, cells = forms
     assert rows_of(significance.pagerank_steps(without_edges(spark, cells), 8)) == rows_of(significance.pagerank_steps(edges, 8))
+
+
+def test_triangles_and_features_where_cells_overlap_or_blocks_are_many(spark, monkeypatch):
+    rng = random.Random(4)
+    one = {f"d{i}": rng.sample(range(60), 30) for i in range(20)}  # nodes share several cells: edges are the fewer
+    two = {f"c{i}": rng.sample(range(300), 9) for i in range(120)}
+    monkeypatch.setattr(cells_of, "WORDS", 2)
+    monkeypatch.setattr(cells_of, "GROUP", 50)
+    for cells, few in ((one, False), (two, True)):
+        edges, own = both_forms(spark, cells)
+        assert cells_of.Projection(own).cells.few() == few
+        assert rows_of(structure.triangles_of(without_edges(spark, own))) == rows_of(structure.triangles(structure.adjacency(edges)))
+        assert rows_of(structure.local_features(without_edges(spark, own))) == rows_of(structure.local_features(edges))
+
+
+def both_forms(spark, cells):
+    pairs = {tuple(sorted((f"n{u}", f"n{v}"))) for own in cells.values() for u, v in combinations(own, 2)}
+    edges = graph(spark.createDataFrame([(u, "t", v) for u, v in pairs], "source string, type string, target string"), directed=False)
+    return edges, replace(edges, cells=spark.createDataFrame([(f"n{u}", c) for c, own in cells.items() for u in own], "label string, cell string"))
