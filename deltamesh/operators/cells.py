@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltamesh.model import PropertyGraph
+from deltamesh.operators.frames import settled
 
 #: Words of 64 neighbours that a task of `Projection.counts` holds of every node, at most.
 WORDS = 256
@@ -279,17 +280,98 @@ class Projection:
         far = F.when(F.col("degree") > 0, F.col("within") - F.col("degree") - 1).otherwise(0)
         return total.select("id", "degree", F.expr("twice div 2").alias("triangles"), *([far.cast("long").alias("two_hop")] if two_hop else []))
 
-    def components(self) -> np.ndarray:
-        """For each node the smallest number that it is connected with."""
-        own = self.cells
-        label = np.arange(self.n)
-        linked = np.flatnonzero(np.diff(own.first))
-        while len(linked):
+    def product(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from an array to its sums over each node's neighbours, for many calls.
+
+        Sums over cells are made in the driver. What these count more than once is taken off by the
+        tasks, from lists that are kept in the checkpoint folder (the neighbours' lists where those are shorter).
+        """
+        n, cells, few = self.n, self.sent, self.cells.few()
+        parts = max(1, min(self.tasks, n // 64))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = cells.value.excess() if few else cells.value.neighbours()
+            for batch in batches:
+                for p in batch.column(0).to_pylist():
+                    for low in range(n * p // parts, n * (p + 1) // parts, GROUP):
+                        lists = [near(u) for u in range(low, min(low + GROUP, n * (p + 1) // parts))]
+                        length = np.fromiter(map(len, lists), np.int32, len(lists))
+                        yield pa.RecordBatch.from_arrays([pa.array([low]), *(pa.array([x.tobytes()], pa.binary()) for x in (length, np.concatenate(lists).astype(np.int32)))], ["low", "length", "near"])
+
+        packed = settled(self.spark.range(0, parts, 1, parts).mapInArrow(pack, "low long, length binary, near binary"))
+        many = np.diff(self.cells.first)
+
+        def times(x: np.ndarray) -> np.ndarray:
+            given = self.spark.sparkContext.broadcast(x)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for low, length, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        length = np.frombuffer(length, np.int32)
+                        y, some = np.zeros(len(length)), np.flatnonzero(length)
+                        if len(some):
+                            y[some] = np.add.reduceat(given.value[np.frombuffer(near, np.int32)], np.r_[0, np.cumsum(length)][some])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + len(y))), pa.array(y)], ["id", "y"])
+
+            got = packed.mapInArrow(run, "id long, y double").toArrow()
+            given.destroy()
+            out = np.zeros(n)
+            out[got["id"].to_numpy()] = got["y"].to_numpy()
+            return self.cells.within(x) - many * x - out if few else out
+
+        return times
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Edges (u, v, 1) in order, in blocks of whole nodes."""
+        near, held, nodes, size = self.cells.neighbours(), [], [], 0
+        for u in range(self.n):
+            at = near(u)
+            held.append(at)
+            nodes.append(u)
+            size += len(at)
+            if size >= BLOCK or (u == self.n - 1 and size):
+                yield np.repeat(np.array(nodes), [len(x) for x in held]), np.concatenate(held), np.ones(size)
+                held, nodes, size = [], [], 0
+
+    def merged(self, own: np.ndarray) -> DataFrame:
+        """Edges (u, v, w) between the groups of their ends, w their number."""
+        n, cells = self.n, self.sent
+        given = self.spark.sparkContext.broadcast((own, np.argsort(own, kind="stable")))
+        k, parts = int(own.max()) + 1, max(1, min(self.tasks, n // 64))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near, (group, order) = cells.value.neighbours(), given.value
+            for batch in batches:
+                for p in batch.column(0).to_pylist():
+                    nodes = order[n * p // parts : n * (p + 1) // parts]
+                    for some in np.split(nodes, np.flatnonzero(np.diff(group[nodes])) + 1):
+                        total = np.zeros(k)
+                        for u in some.tolist():
+                            total += np.bincount(group[near(u)], minlength=k)
+                        v = np.flatnonzero(total)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), group[some[0]])), pa.array(v), pa.array(total[v])], ["u", "v", "w"])
+
+        return settled(self.spark.range(0, parts, 1, parts).mapInArrow(run, "u long, v long, w double").groupBy("u", "v").agg(F.sum("w").alias("w")))
+
+    def components(self, group: np.ndarray | None = None) -> np.ndarray:
+        """For each node the smallest number that it is connected with, by way of its own group if groups are given."""
+        own, label = self.cells, np.arange(self.n)
+        if len(own.member) == 0:
+            return label
+        key = np.repeat(np.arange(len(own.starts) - 1), np.diff(own.starts))
+        if group is not None:
+            key = key * (int(group.max()) + 1) + group[own.member]
+        order = np.argsort(key, kind="stable")
+        member, key = own.member[order], key[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+        back = np.argsort(member, kind="stable")
+        cell = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(member)]))[back]
+        first = np.searchsorted(member[back], np.arange(self.n + 1))
+        linked = np.flatnonzero(np.diff(first))
+        while True:
             new = label.copy()
-            least = np.minimum.reduceat(label[own.member], own.starts[:-1])
-            new[linked] = np.minimum.reduceat(least[own.cell], own.first[linked])
+            new[linked] = np.minimum.reduceat(np.minimum.reduceat(label[member], starts)[cell], first[linked])
             new = new[new]
             if (new == label).all():
-                break
+                return label
             label = new
-        return label

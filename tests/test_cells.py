@@ -83,3 +83,14 @@ def both_forms(spark, cells):
     pairs = {tuple(sorted((f"n{u}", f"n{v}"))) for own in cells.values() for u, v in combinations(own, 2)}
     edges = graph(spark.createDataFrame([(u, "t", v) for u, v in pairs], "source string, type string, target string"), directed=False)
     return edges, replace(edges, cells=spark.createDataFrame([(f"n{u}", c) for c, own in cells.items() for u in own], "label string, cell string"))
+
+
+def test_spectra_from_cells(spark, forms):
+    rng = random.Random(5)
+    large = both_forms(spark, {f"c{i}": rng.sample(range(600), 6) for i in range(300)})
+    overlapping = both_forms(spark, {f"c{i}": [x + 450 * (i % 2) for x in rng.sample(range(450), 200)] for i in range(12)})
+    for edges, cells in (forms, large, overlapping):
+        want, got = structure.spectrum(edges), structure.spectrum(without_edges(spark, cells))
+        assert max(abs(want - got)) < 1e-6
+    none = replace(forms[1], cells=forms[1].cells.limit(0))
+    assert structure.spectrum(none) is None
