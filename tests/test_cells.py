@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from deltamesh.model import graph
 from deltamesh.operators import cells as cells_of
-from deltamesh.operators import significance, structure
+from deltamesh.operators import cluster, significance, structure
 from deltamesh.plans import catalogue, fixtures
 
 
@@ -94,3 +94,24 @@ def test_spectra_from_cells(spark, forms):
         assert max(abs(want - got)) < 1e-6
     none = replace(forms[1], cells=forms[1].cells.limit(0))
     assert structure.spectrum(none) is None
+
+
+def test_communities_from_cells(spark, forms, monkeypatch):
+    monkeypatch.setattr(cells_of, "BLOCK", 300)
+    rng = random.Random(6)
+    grouped = both_forms(spark, {f"c{i}": rng.sample(range(40 * (i % 5), 40 * (i % 5) + 48), 5) for i in range(90)})
+    for edges, cells in (forms, grouped):
+        for resolution in (0.3, 1.0, 4.0):
+            want = rows_of(cluster.communities(edges, resolution)[0])
+            for kw in ({}, {"local_edges": 0}):
+                assert rows_of(cluster.communities(without_edges(spark, cells), resolution, **kw)[0]) == want
+
+
+def test_clusters_of_shared_cells_need_no_table_of_edges(spark):
+    u = catalogue.diff(fixtures.co_events(spark, "/root/testdata/sf0.001"))
+    boom = F.raise_error(F.lit("edges were read")).cast("string")
+    unread = replace(u, edges=u.edges.limit(0).withColumns({c: boom for c in ("source", "type", "target", "status")}).unionByName(spark.range(1).select(*[(boom if t == "string" else F.lit(None).cast(t)).alias(c) for c, t in u.edges.dtypes])))
+    for most in (60, 2):
+        for resolution in (1.0, 3.0):
+            want = rows_of(cluster.clusters_of(replace(u, cells=None), resolution=resolution, most=most).clusters)
+            assert want and rows_of(cluster.clusters_of(unread, resolution=resolution, most=most).clusters) == want
